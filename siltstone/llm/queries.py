@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate
+from siltstone.llm import decontaminate, mpeg_audio, token_output
 from siltstone.llm._shared import read_table
 
 
+def op3_token_output(spark, sf_dir):
+    return token_output.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mpeg_audio(spark, sf_dir):
+    return mpeg_audio.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op3_token_output": op3_token_output,
+    "op7_mpeg_audio": op7_mpeg_audio,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
