@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, mpeg_audio, token_output
+from siltstone.llm import decontaminate, mpeg_audio, neardup, token_output
 from siltstone.llm._shared import read_table
 
 
@@ -18,11 +18,17 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
+
+
 QUERIES = {
+    "op10_minhash_neardup": op10_minhash_neardup,
     "op3_token_output": op3_token_output,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op10_minhash_neardup": neardup.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
