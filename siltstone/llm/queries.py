@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, mpeg_audio, neardup, token_output
+from siltstone.llm import decontaminate, langid, mpeg_audio, neardup, token_output, toxicity
 from siltstone.llm._shared import read_table
 
 
@@ -10,6 +10,11 @@ def op3_token_output(spark, sf_dir):
     return token_output.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_mpeg_audio(spark, sf_dir):
     return mpeg_audio.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -18,13 +23,20 @@ def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op10_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
 
 
 QUERIES = {
+    "op9_language_id": op9_language_id,
     "op10_minhash_neardup": op10_minhash_neardup,
     "op3_token_output": op3_token_output,
+    "op4_toxicity": op4_toxicity,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
