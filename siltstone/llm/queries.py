@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, langid, mpeg_audio, neardup, token_output, toxicity
+from siltstone.llm import decontaminate, langid, mpeg_audio, neardup, token_output, toxicity, warc
 from siltstone.llm._shared import read_table
 
 
@@ -15,6 +15,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_mpeg_audio(spark, sf_dir):
     return mpeg_audio.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -37,10 +41,12 @@ QUERIES = {
     "op10_minhash_neardup": op10_minhash_neardup,
     "op3_token_output": op3_token_output,
     "op4_toxicity": op4_toxicity,
+    "op6_warc": op6_warc,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op6_warc": warc.ORACLE,
     "op10_minhash_neardup": neardup.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
 }
