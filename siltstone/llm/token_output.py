@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from siltstone.llm._shared import fresh, running_total, scratch_path
 
 END_ID = 1
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 700_000
 MEMO_CHARS = 24_000_000
+_MARKS = set(".,;:!?")
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
@@ -76,60 +77,86 @@ class ChunkEncoder:
 
     def _reset(self):
         self.memo = Memo()
-        self.cores: dict[str, tuple] = {}
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.first = np.zeros(1 << 18, np.int64)
-        self.count = np.zeros(1 << 18, np.int64)
-        self.used = self.filled = self.chars = 0
-        self._store([() if self.end_id is None else (self.end_id,)])
-
-    def _store(self, lists):
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        self.cores: dict[str, int] = {}  # chunks without a mark at their end, by place in the pool
+        self.ids = np.zeros(1 << 20, np.int32)  # the pool: ids of all chunks and cores
+        self.place = np.zeros((1 << 18, 2), np.int64)  # of cores: first id, count
+        self.placed = self.filled = self.chars = 0
+        self.chunk = np.zeros((1 << 18, 2), np.int64)  # of chunks, by their number
+        end = [] if self.end_id is None else [self.end_id]
+        self.chunk[0] = self._pool(np.array(end, np.int32)), len(end)
+
+    def _pool(self, flat: np.ndarray) -> int:
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.used + len(sizes) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.first[self.used : self.used + len(sizes)] = self.filled + np.cumsum(sizes) - sizes
-        self.count[self.used : self.used + len(sizes)] = sizes
+        at = self.filled
+        self.ids[at : at + len(flat)] = flat
         self.filled += len(flat)
-        self.used += len(sizes)
-
-    def _words(self, cores: list[str]) -> list[tuple]:
-        """Ids of all-letter words: many in one text, told apart by the tokens that end a word."""
-        out: list[tuple] = []
-        for e in self._whole([" ".join(cores[i : i + 256]) for i in range(0, len(cores), 256)]):
-            ends = np.flatnonzero(self.closes[np.array(e, np.int64)]) + 1 if e else np.zeros(0, np.int64)
-            part = cores[len(out) : len(out) + 256]
+        return at
+
+    def _place(self, names: list[str], flat: np.ndarray, sizes: np.ndarray):
+        n = len(names)
+        while self.placed + n > len(self.place):
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
+        at = self._pool(flat)
+        self.place[self.placed : self.placed + n, 0] = at + np.cumsum(sizes) - sizes
+        self.place[self.placed : self.placed + n, 1] = sizes
+        self.cores.update(zip(names, range(self.placed, self.placed + n)))
+        self.placed += n
+
+    def _place_whole(self, names: list[str]):
+        lists = self._whole(names)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._place(names, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+
+    def _place_words(self, names: list[str]):
+        """All-letter words: many in one text, told apart by the tokens that end a word."""
+        for at in range(0, len(names), 4096):
+            part = names[at : at + 4096]
+            lists = self._whole([" ".join(part[i : i + 128]) for i in range(0, len(part), 128)])
+            flat = np.fromiter(chain.from_iterable(lists), np.int32)
+            ends = np.flatnonzero(self.closes[flat]) + 1
             if len(ends) == len(part):
-                out += [tuple(e[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+                self._place(part, flat, np.diff(ends, prepend=0))
             else:
-                out += map(tuple, self._whole(part))
-        return out
+                self._place_whole(part)
 
     def _learn(self, new: list[str]):
-        """Store the ids of new chunks; a letter and one mark after it never share a token."""
-        cores, parts, fresh_cores, odd = self.cores, [], {}, []
+        """Place new chunks; a letter and one mark after it never share a token."""
+        cores, core, tail, words, odd = self.cores, [], [], {}, {}
         for c in new:
-            core, tail = (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".,;:!?" and c[-2].isalpha() else (c, "")
-            if core.isascii():
-                core = core.lower()  # the normaliser lower-cases too
-            parts.append((core, tail))
-            if core not in cores and core not in fresh_cores:
-                fresh_cores[core] = core.isalpha()
-                if not fresh_cores[core]:
-                    odd.append(core)
-        plain = [c for c, alpha in fresh_cores.items() if alpha]
-        cores.update(zip(plain, self._words(plain)))
-        cores.update(zip(odd, map(tuple, self._whole(odd))))
-        for mark in {t for _, t in parts} - {""}:
-            if mark not in cores:
-                cores[mark] = tuple(self._whole([mark])[0])
-        self._store([cores[c] + cores[t] if t else cores[c] for c, t in parts])
+            mark = c[-1:]
+            if mark in _MARKS and c[-2:-1].isalpha():
+                c = c[:-1]
+            else:
+                mark = ""
+            if c.isascii():
+                c = c.lower()  # the normaliser lower-cases too
+            core.append(c)
+            tail.append(mark)
+            if c not in cores:
+                (words if c.isalpha() else odd)[c] = None
+        self._place_words(list(words))
+        self._place_whole([c for c in {**odd, **dict.fromkeys(tail)} if c not in cores])
+        first = self.place[np.fromiter(map(cores.__getitem__, core), np.int64, len(core))]
+        last = self.place[np.fromiter(map(cores.__getitem__, tail), np.int64, len(tail))]
+        n = len(self.memo) - len(new) + 1
+        while n + len(new) > len(self.chunk):
+            self.chunk = np.concatenate([self.chunk, np.zeros_like(self.chunk)])
+        both = np.stack([first, last], 1).reshape(-1, 2)
+        sizes = first[:, 1] + last[:, 1]
+        copied = last[:, 1] > 0  # others share the place of their core
+        both, some = both[np.repeat(copied, 2)], sizes[copied]
+        at = self._pool(self._gather(both[:, 0], both[:, 1]))
+        starts = first[:, 0].copy()
+        starts[copied] = at + np.cumsum(some) - some
+        self.chunk[n : n + len(new), 0] = starts
+        self.chunk[n : n + len(new), 1] = sizes
         self.chars += sum(map(len, new))
 
+    def _gather(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        before = np.cumsum(count) - count
+        return self.ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
+
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         if len(self.memo) > MEMO_CHUNKS or self.chars > MEMO_CHARS:
             self._reset()
@@ -146,10 +173,9 @@ class ChunkEncoder:
             self._learn(self.memo.new)
             self.memo.new = []
         index = np.array(index, np.int64)
-        count = self.count[index]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        flat = self.ids[np.repeat(self.first[index] - ends[:-1], count) + np.arange(ends[-1])]
-        return pa.ListArray.from_arrays(pa.array(ends[np.array(closes)].astype(np.int32)), pa.array(flat))
+        first, count = self.chunk[index, 0], self.chunk[index, 1]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.array(closes)]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self._gather(first, count)))
 
 
 _ENCODERS: dict = {}
