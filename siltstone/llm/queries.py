@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, langid, mpeg_audio, neardup, token_output, toxicity, warc
+from siltstone.llm import decontaminate, langid, mixing, mpeg_audio, neardup, token_output, toxicity, warc
 from siltstone.llm._shared import read_table
 
 
+def op1_source_mixing(spark, sf_dir):
+    return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark, sf_dir):
     return token_output.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_minhash_neardup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_minhash_neardup": op10_minhash_neardup,
     "op3_token_output": op3_token_output,
@@ -46,6 +51,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op1_source_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op10_minhash_neardup": neardup.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
