@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontaminate, langid, mixing, mpeg_audio, neardup, token_output, toxicity, warc
+from siltstone.llm import chat, decontaminate, langid, mixing, mpeg_audio, neardup, token_output, toxicity, warc
 from siltstone.llm._shared import read_table
 
 
@@ -19,6 +19,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_quotation_linking(spark, sf_dir):
+    return chat.conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_warc(spark, sf_dir):
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -46,11 +50,13 @@ QUERIES = {
     "op10_minhash_neardup": op10_minhash_neardup,
     "op3_token_output": op3_token_output,
     "op4_toxicity": op4_toxicity,
+    "op5_quotation_linking": op5_quotation_linking,
     "op6_warc": op6_warc,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op5_quotation_linking": chat.ORACLE,
     "op1_source_mixing": mixing.ORACLE,
     "op6_warc": warc.ORACLE,
     "op10_minhash_neardup": neardup.ORACLE,
