@@ -71,15 +71,17 @@ def fresh(name: str, taken) -> str:
     return name
 
 
-def running_total(df: DataFrame, keys: list, bucket: str, order: list, value: str, out: str) -> DataFrame:
+def running_total(
+    df: DataFrame, keys: list, bucket: str, order: list, value: str, out: str, source: DataFrame | None = None
+) -> DataFrame:
     """Exclusive prefix sum of ``value`` within ``keys`` in (bucket, order) sequence.
 
     ``bucket`` (not null) must be monotone in the wanted order. Only bucket totals meet per key; rows
     meet per (key, bucket), so one key may hold most of the table without
-    making one task read it all.
+    making one task read it all. ``source``: a cheaper table with the same keys, buckets and values.
     """
     total, base = fresh("bucket_total", df.columns), fresh("bucket_base", df.columns)
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias(total))
+    sums = (df if source is None else source).groupBy(*keys, bucket).agg(F.sum(value).alias(total))
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     sums = sums.select(
         *[F.col(k).alias(f"{k}__b") for k in keys],

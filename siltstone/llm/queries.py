@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, decontaminate, langid, mixing, mpeg_audio, neardup, token_output, toxicity, warc
+from siltstone.llm import chat, decontaminate, langid, mixing, mpeg_audio, neardup, token_counts, token_output, toxicity, warc
 from siltstone.llm._shared import read_table
 
 
@@ -10,6 +10,10 @@ def op1_source_mixing(spark, sf_dir):
     return mixing.plan_mix(read_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_counts.edited_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_output(spark, sf_dir):
     return token_output.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op2_token_counts": op2_token_counts,
     "op3_token_output": op3_token_output,
     "op4_toxicity": op4_toxicity,
     "op5_quotation_linking": op5_quotation_linking,

@@ -272,7 +272,8 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
 
     schema = f"file_name string, row_index long, doc_id {kind}, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     got = rows.mapInArrow(run, schema)
-    got = running_total(got, [], "file_name", ["row_index"], "n_tokens", "start")
+    counts = at.select("_metadata.file_name", "n_tokens")  # of the files, only this column is read twice
+    got = running_total(got, [], "file_name", ["row_index"], "n_tokens", "start", counts)
     return got.select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32", *extra)
 
 
