@@ -17,6 +17,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c, f) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # -- missing values ----------------------------------------------------------
 
 
@@ -80,23 +85,29 @@ def slugify(c, limit: int = 80) -> Column:
 
 def compact_text(c, limit: int) -> Column:
     """At most ``limit`` characters; what is cut ends in an ellipsis, not in punctuation."""
-    x = compact_whitespace(c)
-    cut = F.regexp_replace(F.substring(x, 1, limit), r"(?U)[，,。；;：:\s]+$", "")
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(cut, F.lit("…")))
+
+    def cut(x):
+        head = F.regexp_replace(F.substring(x, 1, limit), r"(?U)[，,。；;：:\s]+$", "")
+        return F.when(F.length(x) <= limit, x).otherwise(F.concat(head, F.lit("…")))
+
+    return bind(compact_whitespace(c), cut)
 
 
 def shorten_at_clause(c, limit: int = 78, least: int = 30) -> Column:
     """Cut at ``limit``, back to the last clause mark if that leaves more than ``least`` characters."""
-    x = F.regexp_replace(col(c), r"(?U)[，；、]\s*$", "")
-    cut = F.substring(x, 1, limit)
-    back = F.greatest(*[F.when(F.instr(cut, m) > 0, limit - F.instr(F.reverse(cut), m)).otherwise(-1) for m in "。；，"])
-    cut = F.regexp_replace(F.when(back > least, F.substring(cut, F.lit(1), back)).otherwise(cut), "[，；、。]+$", "")
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(cut, F.lit("…")))
+
+    def cut(x):
+        head = F.substring(x, 1, limit)
+        back = F.greatest(*[F.when(F.instr(head, m) > 0, limit - F.instr(F.reverse(head), m)).otherwise(-1) for m in "。；，"])
+        head = bind(back, lambda n: F.when(n > least, F.substring(head, F.lit(1), n)).otherwise(head))
+        return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(head, "[，；、。]+$", ""), F.lit("…")))
+
+    return bind(F.regexp_replace(col(c), r"(?U)[，；、]\s*$", ""), cut)
 
 
 def ensure_sentence(c, ends: str = SENTENCE_ENDS) -> Column:
-    x = F.regexp_replace(compact_whitespace(c), "[，；：]+$", "")
-    return F.when(x == "", "").when(x.rlike(f"[{ends}]$"), x).otherwise(F.concat(x, F.lit("。")))
+    close = lambda x: F.when((x == "") | x.rlike(f"[{ends}]$"), x).otherwise(F.concat(x, F.lit("。")))
+    return bind(F.regexp_replace(compact_whitespace(c), "[，；：]+$", ""), close)
 
 
 # -- normalisation ---------------------------------------------------------------
@@ -197,14 +208,25 @@ def strip_promotions(c, promotions: list[str], boilerplate: list[str], anchors:
     then drop promotional units unless they are long."""
     x = col(c)
     for p in boilerplate:
-        at = F.regexp_instr(x, F.lit(p))
-        x = F.when(at > 0, F.concat(F.substring(x, F.lit(1), at - 1), F.lit(" "), F.substring(x, at + F.length(F.regexp_substr(x, F.lit(p))), F.length(x)))).otherwise(x)
-    at = first_index(x, promotions)
-    rest = F.substring(x, at + 1, F.length(x))
-    cuts = F.array_min(F.filter(F.array(*[F.instr(rest, a) - 1 for a in anchors]), lambda i: i > 80)) if anchors else F.lit(None)
-    x = F.when((at >= 0) & (at < window) & cuts.isNotNull(), F.substring(rest, cuts + 1, F.length(rest))).otherwise(x)
-    kept = F.filter(split_units(x, cues), lambda u: ~any_pattern(u, promotions) | (F.length(u) > keep_over))
-    return compact_whitespace(F.array_join(kept, " "))
+        x = bind(x, lambda v, p=p: _without_first(v, p))
+    if anchors and promotions:
+        x = bind(x, lambda v: bind(first_index(v, promotions), lambda at: _from_anchor(v, at, anchors, window)))
+    units = split_units(x, cues)
+    if promotions:
+        units = F.filter(units, lambda u: ~any_pattern(u, promotions) | (F.length(u) > keep_over))
+    return compact_whitespace(F.array_join(units, " "))
+
+
+def _without_first(v: Column, p: str) -> Column:
+    at = F.regexp_instr(v, F.lit(p))
+    rest = F.substring(v, at + F.length(F.regexp_substr(v, F.lit(p))), F.length(v))
+    return F.when(at > 0, F.concat(F.substring(v, F.lit(1), at - 1), F.lit(" "), rest)).otherwise(v)
+
+
+def _from_anchor(v: Column, at: Column, anchors: list[str], window: int) -> Column:
+    rest = F.substring(v, at + 1, F.length(v))
+    cuts = F.array_min(F.filter(F.array(*[F.instr(rest, a) - 1 for a in anchors]), lambda i: i > 80))
+    return bind(cuts, lambda n: F.when((at >= 0) & (at < window) & n.isNotNull(), F.substring(rest, n + 1, F.length(rest))).otherwise(v))
 
 
 def fingerprint(c, size: int = 28) -> Column:
