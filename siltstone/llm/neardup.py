@@ -8,10 +8,10 @@ that share a band are candidates and are confirmed on their full shingle sets.
 A band bucket is never expanded into all its pairs. Its members are first
 compared with one leader (the member that shares most buckets with others, which
 in a family of edited copies is the original). Verified links give components.
-Only where a bucket still spans several components are the members outside the
-leader's component compared with the members of other components; so every
-candidate pair is either compared or already connected, and no link that joins
-two components is lost. Equal shingle sets are one node throughout.
+Where a bucket still spans several components, members outside the leader's component
+are compared with more members of it, the most popular first; and those that no
+leader reached with all members of other components. So every candidate pair is either
+compared or already connected, and no link that joins two components is lost. Equal shingle sets are one node throughout.
 
 Recall of one link at similarity s is 1 - (1 - s^rows)^bands: 0.999997 at 0.8 with
 the defaults (32 bands of 5), more above.
@@ -27,13 +27,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._shared import materialize, release
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
+LEADERS = (9, 41)  # members of a bucket's main component that others are compared with before all are
 MEMO_WORDS = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -239,6 +240,13 @@ def close_in_size(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def open_buckets(ranked: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with their component ``c`` and ``main``, that of the most popular member."""
+    placed = ranked.join(label.withColumnsRenamed({"member": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("popularity", "node", "c")).alias("top"))
+    return materialize(placed.join(split.filter("c0 <> c1").select("bucket", F.col("top.c").alias("main")), "bucket"), "open")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept, a row for each of ``docs``."""
     base = materialize(features(docs, k, bands, rows), "features")
@@ -255,11 +263,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
 
     # one leader a bucket
     popular = shared.groupBy("node").agg(F.sum("size").alias("popularity"))
-    leaders = shared.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("popularity", "node", "rep", "n")).alias("lead"))
-    led = shared.join(leaders.select("bucket", "lead.node", "lead.rep", "lead.n").toDF("bucket", "lnode", "lrep", "ln"), "bucket")
-    led = materialize(led.select("bucket", "node", "rep", "n", "lnode", "lrep", "ln"), "led")
+    ranked = materialize(shared.drop("size").join(popular, "node"), "ranked")
     release(shared)
-    whole = materialize(full_sets(docs, k, led.select("node", "rep").distinct()), "whole")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("popularity", "node", "rep", "n")).alias("lead"))
+    led = ranked.join(leaders.select("bucket", "lead.node", "lead.rep", "lead.n").toDF("bucket", "lnode", "lrep", "ln"), "bucket")
+    whole = materialize(full_sets(docs, k, ranked.select("node", "rep").distinct()), "whole")
     first = (
         led.filter((F.col("node") != F.col("lnode")) & close_in_size(F.col("n"), F.col("ln"), percent))
         .select(F.col("node").alias("a"), F.col("lnode").alias("b"), F.col("rep").alias("u"), F.col("lrep").alias("v"))
@@ -268,23 +276,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     links = materialize(verified(first, whole, percent), "links")
     label = components(links)
 
-    # buckets that still span several components
-    placed = led.join(label.withColumnsRenamed({"member": "rep", "component": "c"}), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("node") == F.col("lnode"), F.col("c"))).alias("main"))
-    open_ = materialize(placed.join(split.filter("c0 <> c1").select("bucket", "main"), "bucket"), "open")
-    a = open_.filter("c <> main").select("bucket", F.col("node").alias("a"), F.col("rep").alias("u"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    b = open_.filter("node <> lnode").select("bucket", F.col("node").alias("b"), F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main")
-    rest = (
-        a.join(b, "bucket")
-        .filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close_in_size(F.col("na"), F.col("nb"), percent))
-        .select("a", "b", "u", "v")
-        .distinct()
-    )
-    more = materialize(verified(_alike(rest, reps, percent), whole, percent), "links")
-    release(led, open_, whole)
-    if not more.isEmpty():
-        release(label)
-        label = components(links.union(more))
+    # more leaders, from the largest leader's component, where a bucket still spans several components
+    low = 1
+    for high in [*LEADERS, None]:
+        rest = open_buckets(ranked, label)
+        if rest.isEmpty():
+            release(rest)
+            break
+        a = rest.filter("c <> main").select("bucket", F.col("node").alias("a"), F.col("rep").alias("u"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        b = rest.select("bucket", F.col("node").alias("b"), F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main", "popularity")
+        if high:
+            order = Window.partitionBy("bucket").orderBy(F.desc("popularity"), "b")
+            b = b.filter("cb = main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= high).filter(F.col("r") > low)
+            low = high
+        # last, what is left: members outside the main component with those of other components
+        pairs = (
+            a.join(b, "bucket")
+            .filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close_in_size(F.col("na"), F.col("nb"), percent))
+            .select("a", "b", "u", "v")
+            .distinct()
+        )
+        more = materialize(verified(_alike(pairs, reps, percent), whole, percent), "links")
+        release(rest)
+        if not more.isEmpty():
+            both = materialize(links.union(more), "links")
+            release(links, more, label)
+            links, label = both, components(both)
+    release(ranked, whole)
 
     linked = label.withColumnRenamed("member", "rep")
     groups = reps.select("node", "rep", "copies").join(linked, "rep", "left").filter("copies > 1 or component is not null")
