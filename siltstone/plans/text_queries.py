@@ -165,7 +165,7 @@ WITH {LINES}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_promo, coalesce(string_agg(line, ' ' ORDER BY n) FILTER (NOT hit OR length(line) > 500), '') AS kept
 FROM (SELECT *, regexp_matches(line, '(?i)license') OR regexp_matches(line, '(?i)copyright') OR regexp_matches(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS hit FROM lines) GROUP BY 1""")
 def promo_filter(spark, d):
-    rows = docs(spark, d).select("doc_id", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("units")).filter(F.size("units") > 0)
+    rows = docs(spark, d).select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda u: F.trim(u)), lambda x: x != "").alias("units")).filter(F.size("units") > 0)
     hit = lambda u: text.any_pattern(u, PROMO)
     kept = F.filter("units", lambda u: ~hit(u) | (F.length(u) > 500))
     return rows.select("doc_id", F.size("units").cast("long").alias("n_lines"), F.size(F.filter("units", hit)).cast("long").alias("n_promo"), F.array_join(kept, " ").alias("kept"))
@@ -180,7 +180,7 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'transcript-like-keypoint', 'length' F
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'sponsor-leakage', '' FROM d WHERE s
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'structure', 'point-end' FROM d WHERE NOT e""")
 def quality_gate(spark, d):
-    rows = docs(spark, d).select("doc_id", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "").alias("p"))
+    rows = docs(spark, d).select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda u: F.trim(u)), lambda x: x != "").alias("p"))
     n, extra = F.size("p"), F.size("p") - F.size(F.array_distinct("p"))
     rules = [
         quality.failure(n < 3, "structure", n),
@@ -195,7 +195,7 @@ def quality_gate(spark, d):
 @query(rf"""
 WITH {LINES} SELECT doc_id, CAST(count(*) - count(DISTINCT lower(line)) AS BIGINT) AS n_duplicates FROM lines GROUP BY 1 HAVING count(*) <> count(DISTINCT lower(line))""")
 def duplicate_bullets(spark, d):
-    rows = docs(spark, d).select("doc_id", F.transform(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), F.lower).alias("p"))
+    rows = docs(spark, d).select("doc_id", F.transform(F.filter(F.transform(F.split("text", "\n"), lambda u: F.trim(u)), lambda x: x != ""), F.lower).alias("p"))
     return rows.select("doc_id", (F.size("p") - F.size(F.array_distinct("p"))).cast("long").alias("n_duplicates")).filter("n_duplicates > 0")
 
 

@@ -171,3 +171,18 @@ def test_incremental_stream(spark, tmp_path):
     assert {r.id: r.v for r in incremental.latest(spark, out).collect()} == {"1": "a", "2": "b2", "3": "c"}
     assert incremental.not_done(rows, rows.filter("id = '1'")).head().id == "2"
     assert incremental.not_done(rows, rows, force=True).count() == 2
+
+
+def test_units_and_run_config(spark):
+    from siltstone.operators import units
+    from siltstone.plans.corpus_run import RunConfig
+
+    df = spark.createDataFrame([(1, "市場今天上漲，半導體族群領軍帶動大盤走高。哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈哈。短句。")], "id int, t string")
+    got = units.representative_units(df, "id", "t", ["市場", "半導體"], R.SUMMARY_TOPICS, "^哈").orderBy("rank").collect()
+    assert got[0].unit.startswith("市場今天") and len(got) == 2
+    weak = lambda t: spark.createDataFrame([(t,)], "t string").select(units.weak_title(F.col("t")).alias("w")).head().w
+    assert weak("EP12 | 🦞") and weak("短標題") and not weak("關稅與市場的長期影響")
+    points = units.key_points(F.lit("關稅與市場的長期影響"), F.array(F.lit("甲")), F.array(F.lit("總經")), F.array(F.lit("BTC")), ["補一", "補二"])
+    assert spark.range(1).select(points.alias("p")).head().p == ["關稅與市場的長期影響。", "甲。", "BTC。"]
+    c = RunConfig.parse(["--source", "s", "--limit", "0", "--force"], {"RUN_MAX_ITEMS": "5"}, "now")
+    assert (c.source, c.limit, c.max_items, c.force) == ("s", 2, 5, True)
