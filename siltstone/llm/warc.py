@@ -33,6 +33,7 @@ from siltstone.llm._shared import materialize, release, scratch_path
 
 SPLIT = 8 << 20
 HEADER = 64 << 10  # read beyond a range at first; longer headers are read on
+BROADCAST_GROUPS = 200_000  # groups of equal payloads, of about 100 bytes each
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
 
@@ -50,7 +51,9 @@ def plan_records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
     groups = rows.filter(F.col("bytes") >= min_payload).groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "top")
+    groups = materialize(groups.filter("n > 1").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "top"), "copied")
+    if groups.count() <= BROADCAST_GROUPS:  # else payloads are shuffled to their groups, large ones split by AQE
+        groups = F.broadcast(groups)
     rows = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
     return rows.select("page_id", "url", "html", "digest", "bytes", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("original"))
 
@@ -191,7 +194,11 @@ def entries(ranges: DataFrame) -> DataFrame:
                     ["path", "start", "offset", "leaves"],
                 )
 
-    links = materialize(ranges.mapInArrow(run, "path string, start long, offset long, leaves long"), "links")
+    every = materialize(ranges.mapInArrow(run, "path string, start long, offset long, leaves long"), "links")
+    # a range is entered at file start or where a chain from an earlier range leads, so few candidates matter
+    doors = every.select("path", F.col("leaves").alias("offset")).distinct()
+    links = materialize(every.filter("offset = 0").unionByName(every.filter("offset > 0").join(doors, ["path", "offset"], "left_semi")), "links")
+    release(every)
     jump = links.select("path", "offset", F.col("leaves").alias("to")).filter("`to` >= 0")
     reached = links.filter("offset = 0").select("path", "offset")
     made: list[DataFrame] = []
