@@ -34,6 +34,8 @@ from siltstone.llm._shared import materialize, release
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
+SMALL = 4096  # pairs of a group that are joined as rows; larger groups are compared block by block
+STRAYS, MEMBERS = 256, 2048  # of a block
 LEADERS = (9, 41)  # members of a bucket's main component that others are compared with before all are
 MEMO_WORDS = 400_000
 
@@ -210,6 +212,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def block_links(rest: DataFrame, sizes: DataFrame, reps: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links of the members outside a main component with those of other components, for large groups.
+
+    ``sizes``: main, strays, members. Both sides are cut into blocks of bounded size; a task compares the
+    signatures, then the whole sets, of one block with another and returns only links, and no more than one from a
+    document to a component.
+    """
+    blocks = sizes.select("main", F.ceil(F.col("strays") / STRAYS).alias("nx"), F.ceil(F.col("members") / MEMBERS).alias("ny"))
+    rows = rest.select("main", "node", "rep", "n", "c").distinct().join(blocks, "main")
+    rows = materialize(rows.join(reps.select("node", "sig"), "node").join(whole, "node"), "blocks")
+    again = rows.sparkSession.read.schema(rows.schema).parquet(rows._siltstone_path)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    cols = ["main", "x", "y", "node", "rep", "n", "c", "sig", "whole"]
+    left = rows.filter("c <> main").withColumn("x", own("nx")).withColumn("y", each("ny")).select(cols)
+    right = again.withColumn("y", own("ny")).withColumn("x", each("nx")).select(cols)
+    j = percent / 100
+    kind = rest.schema["rep"].dataType.simpleString()
+
+    def compare(a, b):
+        u, v = [], []
+        if a.num_rows and b.num_rows:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            least = j - 6 * (j * (1 - j) / sig.shape[1]) ** 0.5
+            size, comp = b.column("n").to_numpy(), b.column("c").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in b.column("whole").to_pylist()]
+            reps_b = b.column("rep").to_pylist()
+            for mine, w, n, c, r in zip(*(a.column(x).to_pylist() for x in ("sig", "whole", "n", "c", "rep"))):
+                alike = (sig == np.frombuffer(mine, np.uint8)).mean(axis=1) >= least
+                near = np.minimum(size, n) * 100 >= np.maximum(size, n) * percent
+                w, joined = np.frombuffer(w, np.uint64), set()
+                for k in np.flatnonzero(alike & near & (comp != c)).tolist():
+                    if comp[k] in joined:
+                        continue
+                    same = len(np.intersect1d(w, sets[k], assume_unique=True))
+                    if 100 * same >= percent * (len(w) + len(sets[k]) - same):
+                        joined.add(comp[k])
+                        u.append(r)
+                        v.append(reps_b[k])
+        return pa.table({"u": pa.array(u, a.schema.field("rep").type), "v": pa.array(v, a.schema.field("rep").type)})
+
+    key = ["main", "x", "y"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, f"u {kind}, v {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(member, component) of the nodes of ``edges`` (u, v): the least reachable id.
 
@@ -277,32 +324,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     label = components(links)
 
     # more leaders, from the largest leader's component, where a bucket still spans several components
-    low = 1
+    low, opened = 1, []
     for high in [*LEADERS, None]:
         rest = open_buckets(ranked, label)
+        opened.append(rest)
         if rest.isEmpty():
-            release(rest)
             break
+        blocks = None
+        if not high:  # last, what is left: members outside the main component with those of other components
+            strays = rest.filter("c <> main").select("main", "node").distinct().groupBy("main").agg(F.count("*").alias("strays"))
+            members = rest.select("main", "node").distinct().groupBy("main").agg(F.count("*").alias("members"))
+            sizes = materialize(strays.join(members, "main").filter(F.col("strays") * F.col("members") > SMALL), "sizes")
+            blocks = block_links(rest, sizes, reps, whole, percent)
+            rest = rest.join(sizes.select("main"), "main", "left_anti")
         a = rest.filter("c <> main").select("bucket", F.col("node").alias("a"), F.col("rep").alias("u"), F.col("n").alias("na"), F.col("c").alias("ca"))
         b = rest.select("bucket", F.col("node").alias("b"), F.col("rep").alias("v"), F.col("n").alias("nb"), F.col("c").alias("cb"), "main", "popularity")
         if high:
             order = Window.partitionBy("bucket").orderBy(F.desc("popularity"), "b")
             b = b.filter("cb = main").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= high).filter(F.col("r") > low)
             low = high
-        # last, what is left: members outside the main component with those of other components
         pairs = (
             a.join(b, "bucket")
             .filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close_in_size(F.col("na"), F.col("nb"), percent))
             .select("a", "b", "u", "v")
             .distinct()
         )
-        more = materialize(verified(_alike(pairs, reps, percent), whole, percent), "links")
-        release(rest)
+        more = verified(_alike(pairs, reps, percent), whole, percent)
+        more = materialize(more if blocks is None else more.union(blocks), "links")
         if not more.isEmpty():
             both = materialize(links.union(more), "links")
             release(links, more, label)
             links, label = both, components(both)
-    release(ranked, whole)
+    release(ranked, whole, *opened)
 
     linked = label.withColumnRenamed("member", "rep")
     groups = reps.select("node", "rep", "copies").join(linked, "rep", "left").filter("copies > 1 or component is not null")

@@ -63,7 +63,12 @@ def test_neardup(spark, docs, none):
     assert neardup.near_duplicates(none, k=2).count() == 0
 
 
-def test_neardup_family_against_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_neardup_family_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)  # what leaders leave: by blocks, or as joined rows
+    monkeypatch.setattr(neardup, "LEADERS", (2,))
+    monkeypatch.setattr(neardup, "STRAYS", 7)
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
     rng = random.Random(2)
     base = [f"w{n}" for n in range(60)]
     rows = []
