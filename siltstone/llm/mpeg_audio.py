@@ -130,15 +130,31 @@ def vbr(data: bytes, at: int, head) -> dict | None:
     return None
 
 
+def _fills(data: bytes, at: int) -> bool:
+    """Whether frames of one kind follow each other from ``at`` to the very end."""
+    first = head = header(data[at : at + 4])
+    while head and head[:2] == first[:2] and head[4] == first[4]:
+        at += head[5]
+        if at >= len(data):
+            return at == len(data)
+        head = header(data[at : at + 4])
+    return False
+
+
 def parse(data: bytes) -> dict:
-    """Tags, VBR table, frames (offset, size, start of free bytes), checks, skipped bytes."""
+    """Tags, VBR table, frames (offset, size, start of free bytes), checks, skipped bytes.
+
+    'TAG' 128 bytes before the end opens an ID3v1 tag, unless it lies within frames that fill the stream.
+    """
     start, tags = id3v2(data)
     end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
     out = {"tags": tags, "vbr": None, "offsets": [], "sizes": [], "free": [], "crc_ok": 0, "crc_bad": 0, "skipped": 0, "samples": 0, "hz": 0, "kind": ""}
     at, synced = start, False
-    while at + 4 <= end:
+    while at < end and at + 4 <= len(data):
         head = header(data[at : at + 4])
         after = at + head[5] if head else 0
+        if head and end < after <= len(data) and _fills(data, at):
+            end = len(data)  # these 'TAG' bytes are a frame's
         # out of step, a header counts only if another of its kind (or the end) follows
         if not head or after > end or not synced and after != end and not (
             (nxt := header(data[after : after + 4])) and nxt[:2] == head[:2] and nxt[4] == head[4]

@@ -165,6 +165,30 @@ def test_mpeg_round_trip_and_resync():
     assert mpeg_audio.parse(b"")["offsets"] == []
 
 
+def test_mpeg_tag_letters_in_payload():
+    for n in (*range(64, 2049, 64), 20 * mpeg_audio.FULL // 64 * 64):
+        plain = mpeg_audio.parse(media := mpeg_audio.store(bytes(n)))
+        at = len(media) - 128
+        for o, s, f in zip(plain["offsets"], plain["sizes"], plain["free"]):
+            if f <= at <= o + s - 3:
+                before = sum(o + s - f for o, s, f in zip(plain["offsets"], plain["sizes"], plain["free"]) if o + s <= at)
+                payload = bytearray(n)
+                payload[before + at - f : before + at - f + 3] = b"TAG"
+                payload = bytes(payload[:n])
+                got = mpeg_audio.parse(media := mpeg_audio.store(payload))
+                assert mpeg_audio.payload_of(media, got) == payload and got["offsets"] == plain["offsets"] and got["skipped"] == 0, n
+                tagged = mpeg_audio.parse(media + b"TAG" + bytes(125))
+                assert tagged["offsets"] == plain["offsets"] and tagged["skipped"] == 0 and tagged["crc_bad"] == 0
+    text = bytes(137) + b"TAG" + bytes(116)
+    assert mpeg_audio.store(text)[-128:-125] == b"TAG"
+    # small frames after the letters; a real tag after a frame that was cut short
+    small = (b"\xff\xfb\x14\xc0" + bytes(92)) * 3
+    inside = small[:-128] + b"TAG" + small[-125:]
+    assert mpeg_audio.parse(inside)["offsets"] == [0, 96, 192]
+    cut = mpeg_audio.parse(small[:-50] + b"TAG" + bytes(125))
+    assert cut["offsets"] == [0, 96] and cut["skipped"] == 46
+
+
 def test_frame_sizes():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00]))[5] == 417
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x92, 0x00]))[5] == 418
