@@ -73,6 +73,8 @@ class ChunkEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         probe = "One two'll  3three,\nété   x\n\n fin. <|endoftext|>y"
+        # the library matches these in the raw text, before it lower-cases
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.chunked = bool(self.closes.any()) and self._whole([probe])[0] == [
             i for x in self._whole(probe.replace("\n", " ").split(" ")) for i in x
         ]
@@ -129,13 +131,15 @@ class ChunkEncoder:
     def _learn(self, new: list[str]):
         """Place new chunks; a letter and one mark after it never share a token."""
         cores, core, tail, words, odd = self.cores, [], [], {}, {}
+        every = " ".join(new).lower()
+        added = [t for t in self.added if t in every]
         for c in new:
             mark = c[-1:]
             if mark in _MARKS and _stays_letter(c[-2:-1]):
                 c = c[:-1]
             else:
                 mark = ""
-            if c.isascii():
+            if c.isascii() and not (added and any(t in c.lower() for t in added)):
                 c = c.lower()  # the normaliser lower-cases too
             core.append(c)
             tail.append(mark)

@@ -83,6 +83,23 @@ def test_chunk_encoder_equals_library():
     assert e.encode(texts).to_pylist() == want and e.encode(texts).to_pylist() == want
 
 
+def test_chunk_encoder_keeps_case_of_markers(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    path = token_output.default_tokenizer()
+    loud = tokenizers.Tokenizer.from_file(path)
+    loud.add_special_tokens(["<PAD>"])
+    loud.save(str(tmp_path / "loud.json"))
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>", "<PAD>", "<pad>", "<Pad>", "<|", "End", "A.", "é", " ", "\n"]
+    rng = random.Random(9)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "A <|EndOfText|>. B", "<PAD> <pad>", *["".join(rng.choices(marks, k=rng.randint(1, 8))) for _ in range(300)]]
+    for p in (path, str(tmp_path / "loud.json")):
+        e = token_output.ChunkEncoder(p)
+        assert e.chunked
+        for part in (texts, texts[::-1], ["The end", "the END", *texts]):
+            assert e.encode(part).to_pylist() == [x + [1] for x in e._whole(part)]
+
+
 def test_token_tree_follows_edits():
     pytest.importorskip("public_tokenizers")
     count, rng = token_counts.counter(), random.Random(6)
