@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import materialize, release
+from siltstone.llm._shared import fresh, materialize, release
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
@@ -368,12 +368,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, all columns; rows without doc_id stay. Of rows with one doc_id one stays."""
-    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, all columns; rows without doc_id stay.
+
+    Rows with one doc_id and different texts are different documents; of those with one text one stays.
+    """
+    named, key = docs.filter("doc_id is not null"), "doc_id"
+    repeated = not named.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+    if repeated:
+        key = fresh("number", docs.columns)
+        named = _numbered(named, key)
+    near = near_duplicates(named.select(F.col(key).alias("doc_id"), "text"), k, percent)
+    kept = near.filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    named = named.join(kept, key, "left_semi")
+    if repeated:
+        named = named.dropDuplicates([key])
     return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """Add a number for each distinct (doc_id, text), ascending with doc_id."""
+    tie = fresh("tie", [*docs.columns, key])
+    docs = docs.withColumn(tie, F.xxhash64("text"))
+    pairs = docs.select("doc_id", tie).distinct().repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    pairs = materialize(pairs.withColumn(key, F.monotonically_increasing_id()), "numbers")
+    return materialize(docs.join(pairs, ["doc_id", tie]).drop(tie), "numbered")
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

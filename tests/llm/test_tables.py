@@ -88,6 +88,18 @@ def test_keep_one(docs):
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9, 11] and ids.count(None) == 2
 
 
+def test_keep_one_of_rows_that_share_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (3, a + " end"), (3, b), (3, b), (5, b + " end"), (7, c), (7, c + " end"), (9, d), (9, e), (9, None), (9, ""), (9, ""), (None, a), (None, a)]
+    table = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, number long, tie string").repartition(3)
+    kept = neardup.keep_one(table, k=2)
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text if r.doc_id != 7 else c) for r in kept.collect()]
+    want = [(1, a), (3, b), (7, c), (9, d), (9, e), (9, None), (9, ""), (None, a), (None, a)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_token_output(spark, docs, none):
     pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
