@@ -9,7 +9,8 @@ the language with the lowest cost per character wins.
 
 Calibration. A fifth of the sample is left out of the counts; on it a temperature
 is chosen for the posterior (``score``), and the lowest score that keeps ``target``
-precision is the rejection limit (column ``rejected``).
+precision is the rejection limit (column ``rejected``). The final models count the
+whole sample.
 
 Training uses at most ``per_lang`` rows a language, taken in the order of a hash
 of doc_id from rows with a lang and crc32(doc_id) mod 3 not 1; their texts are
@@ -37,6 +38,7 @@ ORDER = 4
 PER_LANG = 400
 DISCOUNT = 0.75
 TARGET = 0.99
+FOLDS = 5
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -234,16 +236,26 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER, target:
             )
 
     counted = texts.mapInArrow(count, "y string, fold int, word string, n long").groupBy("y", "fold", "word").agg(F.sum("n").alias("n")).toArrow()
-    by: dict = defaultdict(dict)
-    for y, fold, word, n in sorted(zip(*(counted.column(c).to_pylist() for c in ("y", "fold", "word", "n")))):
-        if fold:
-            by[y][word] = by[y].get(word, 0) + n
-    models = {y: KneserNey(words, order) for y, words in by.items() if words}
-    return calibrate(Identifier(models), texts, target) if models else Identifier({})
+    counts = sorted(zip(*(counted.column(c).to_pylist() for c in ("y", "fold", "word", "n"))))
+
+    def fitted(folds):
+        by: dict = defaultdict(dict)
+        for y, fold, word, n in counts:
+            if fold in folds:
+                by[y][word] = by[y].get(word, 0) + n
+        return Identifier({y: KneserNey(words, order) for y, words in by.items() if words})
+
+    found = fitted(range(1, FOLDS))
+    if found.langs:
+        found = calibrate(found, texts, target)
+    heat, limit = found.heat, found.limit
+    found = fitted(range(FOLDS))
+    found.heat, found.limit = heat, limit
+    return found
 
 
 def hash_fold(doc_id) -> int:
-    return zlib.crc32(f"fold {doc_id}".encode()) % 5
+    return zlib.crc32(f"fold {doc_id}".encode()) % FOLDS
 
 
 def calibrate(found: Identifier, texts: DataFrame, target: float) -> Identifier:

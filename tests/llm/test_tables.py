@@ -205,6 +205,19 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(table, langid.train(none)).collect()} == {"und"} and langid.identify(none, model).count() == 0
 
 
+def test_language_of_left_out_rows(spark):
+    left_out = [i for i in range(1000, 1100) if langid.hash_fold(i) == 0 and zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, ["the thing with other weather", "der ding nicht wetter schon"][i % 2], ["en", "de"][i % 2]) for i in range(60)]
+    rare = [(left_out[0], "vreme nije dobro danas ovde", "sr"), (5000, "vreme danas nije dobro", None)]
+    table = spark.createDataFrame([*rows, *rare], "doc_id long, text string, lang string")
+    model = langid.train(table)
+    assert model.langs == ["de", "en", "sr"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(table, model).collect()}
+    assert got[left_out[0]] == got[5000] == "sr" and all(got[i] == x for i, _, x in rows)
+    only = langid.train(spark.createDataFrame([(i, "the other thing", "en") for i in left_out[:3]], "doc_id long, text string, lang string"))
+    assert only.langs == ["en"]
+
+
 def test_warc(spark):
     pages = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u v\r\n", ""), (5, "h", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (6, "é", "é" * 3000), (None, "n", "<p>x</p>"), (7, "l", LONG)]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, digest string").repartition(2)
