@@ -145,7 +145,8 @@ p AS (SELECT a.conv_id, a.n AS a, b.n AS b, a.k AS ka, b.k AS kb, len(list_inter
 SELECT conv_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p WHERE contains(ka, kb) OR contains(kb, ka) OR i >= 0.55 * (t - i)""")
 def near_dup_lines(spark, d):
     """Pairs of lines of a conversation that contain each other or share enough 6-grams; they meet on a
-    common 6-gram (containment implies one), never all with all."""
+    common 6-gram (containment implies one), never all with all. Lines under 6 characters are left out, equal
+    ones too: they have no 6-gram. (The reference compares quotes of at least 18 characters only.)"""
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text.text_or_blank("text").alias("t")))).alias("m"))
     rows = rows.select("conv_id", F.posexplode(F.split(F.array_join(F.transform("m", lambda x: x.t), "\n"), "\n")).alias("n", "k"))
     rows = rows.select("conv_id", (F.col("n") + 1).alias("n"), F.lower("k").alias("k")).filter(F.length("k") >= 6).withColumn("g", text.shingles("k"))
