@@ -7,8 +7,10 @@ match length at a word tells whether a window (``window`` consecutive words of
 an item, or a whole shorter item) ends there.
 
 The automaton is broadcast. Its size is bounded: items are cut into shards of at
-most ``shard_words`` words (an item is never split), one automaton and one narrow
-pass for each shard, so that a benchmark of any size works with bounded memory.
+most ``shard_words`` words (an item is never split), one automaton for each. The
+driver reads items shard by shard. Up to ``held`` automata are broadcast and scanned
+in one narrow pass; what it finds is written to the shared folder before the next
+are built, so that a benchmark of any size works with bounded memory.
 
 Defined results: a null or wordless text has no words, no hits and the digest of
 the empty string. Items with null or wordless text are ignored; an item with a
@@ -21,14 +23,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from siltstone.llm._shared import fresh, materialize, release
 
 WINDOW = 10
 SHARD_WORDS = 100_000
+HELD = 4  # automata of one pass
 
 _TABLE = bytes(
     (c + 32) if 65 <= c <= 90 else c if (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256)
@@ -182,53 +190,93 @@ def _merge(spans):
     return out
 
 
-def shards(benchmark: DataFrame, shard_words: int) -> list[list[tuple[str | None, str]]]:
+def shards(benchmark: DataFrame, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in shards of bounded size; read by one pass in id order, a shard at a time."""
-    now, held, out = [], 0, []
+    now, held = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter("t is not null")
     for row in rows.distinct().sort("i", "t").toLocalIterator():
         n = len(words_of(row.t))
         if not n:
             continue
         if now and held + n > shard_words:
-            out.append(now)
+            yield now
             now, held = [], 0
         now.append((row.i, words_of(row.t)))
         held += n
-    return [*out, now] if now else out
+    if now:
+        yield now
 
 
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_SPANS_TYPE = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
 _SCAN = "n_words long, spans array<struct<a: int, b: int>>, items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, held: int, finish, schema) -> DataFrame:
+    """``finish(batch, documents, spans, items)`` of each batch of ``docs``, once all shards are scanned.
+
+    documents: the words; spans: hit word ranges; items: ids of items that hit. Between passes they are kept in two more columns.
+    """
+    context, width = docs.sparkSession.sparkContext, len(docs.columns)
+    at, taken = docs.columns.index("text"), docs.columns
+    names = [*taken, fresh("spans", taken), fresh("items", [*taken, "spans"])]
+    between = StructType([*docs.schema.fields, StructField(names[-2], _SPANS_TYPE), StructField(names[-1], ArrayType(StringType()))])
+
+    def keep(batch, documents, spans, items):
+        return pa.RecordBatch.from_arrays([*batch.columns, _spans_array(spans), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names)
+
+    def scanned(rows, automata, end, kinds):
+        def run(batches):
+            for whole in batches:
+                batch = whole.select(list(range(width)))
+                documents = [words_of(t) for t in batch.column(at).to_pylist()]
+                spans, items = [[] for _ in documents], [set() for _ in documents]
+                if whole.num_columns > width:
+                    spans = [[(s["a"], s["b"]) for s in x] for x in whole.column(width).to_pylist()]
+                    items = [set(x) for x in whole.column(width + 1).to_pylist()]
+                for shard in automata:
+                    a = shard.value
+                    for n, (found, numbers) in enumerate(a.scan(documents)):
+                        if found:
+                            spans[n] += found
+                            items[n] |= {a.ids[i] for i in numbers} - {None}
+                yield end(batch, documents, [_merge(x) for x in spans], items)
+
+        return rows.mapInArrow(run, kinds)
+
+    parts, rows = shards(benchmark, shard_words), docs
+    automata = [context.broadcast(ItemAutomaton(s, window)) for s in islice(parts, held)]
+    while (following := next(parts, None)) is not None:
+        after = materialize(scanned(rows, automata, keep, between), "leaks")  # before the next automata are built
+        for shard in automata:
+            shard.destroy()
+        if rows is not docs:
+            release(rows)
+        rows = after
+        automata = [context.broadcast(ItemAutomaton(s, window)) for s in islice(chain([following], parts), held)]
+    return scanned(rows, automata, finish, schema)
+
+
+def _spans_array(spans) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], _SPANS)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, held: int = HELD) -> DataFrame:
     """Add n_words, spans (hit word ranges) and items (ids of items that hit) to doc_id and text."""
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(ItemAutomaton(s, window)) for s in shards(benchmark, shard_words)]
-
-    def run(batches):
-        for batch in batches:
-            documents = [words_of(t) for t in batch.column("text").to_pylist()]
-            spans = [[] for _ in documents]
-            items = [set() for _ in documents]
-            for shard in automata:
-                a = shard.value
-                for n, (found, numbers) in enumerate(a.scan(documents)):
-                    if found:
-                        spans[n] += found
-                        items[n] |= {a.ids[i] for i in numbers} - {None}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text"),
-                    pa.array([len(d) for d in documents], pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in _merge(s)] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                ],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {_SCAN}")
+
+    def finish(batch, documents, spans, items):
+        return pa.RecordBatch.from_arrays(
+            [
+                *batch.columns,
+                pa.array([len(d) for d in documents], pa.int64()),
+                _spans_array(spans),
+                pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+            ],
+            ["doc_id", "text", "n_words", "spans", "items"],
+        )
+
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {_SCAN}"
+    return _search(docs.select("doc_id", "text"), benchmark, window, shard_words, held, finish, kinds)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -251,6 +299,7 @@ def decontaminate(
     max_span: int = 0,
     max_coverage: float = 0.0,
     shard_words: int = SHARD_WORDS,
+    held: int = HELD,
 ) -> DataFrame:
     """Remove leaked passages; all columns of ``docs`` stay.
 
@@ -258,30 +307,21 @@ def decontaminate(
     others, spans of more than ``max_span`` words are cut out of the text. With
     the default of 0 a document with any window goes.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(ItemAutomaton(s, window)) for s in shards(benchmark, shard_words)]
     at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            documents = [words_of(t) for t in texts]
-            spans = [[] for _ in documents]
-            for shard in automata:
-                for n, (found, _) in enumerate(shard.value.scan(documents)):
-                    spans[n] += found
-            keep, changed = [], False
-            for n, found in enumerate(spans):
-                found = _merge(found)
-                keep.append(sum(b - a for a, b in found) <= max_coverage * len(documents[n]))
-                cut = [s for s in found if s[1] - s[0] > max_span]
-                if keep[-1] and cut:
-                    texts[n], changed = cut_spans(texts[n], cut), True
-            if changed:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def finish(batch, documents, spans, items):
+        texts = batch.column(at).to_pylist()
+        keep, changed = [], False
+        for n, found in enumerate(spans):
+            keep.append(sum(b - a for a, b in found) <= max_coverage * len(documents[n]))
+            cut = [s for s in found if s[1] - s[0] > max_span]
+            if keep[-1] and cut:
+                texts[n], changed = cut_spans(texts[n], cut), True
+        if changed:
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return _search(docs, benchmark, window, shard_words, held, finish, docs.schema)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -177,6 +177,30 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.report(none, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_pass_by_pass(spark, docs, monkeypatch):
+    items = [(f"q{n}", t) for n, t in enumerate(["Quick brown fox", "the lazy dog and", "runs away today", "runs away now", "completely different", "words here"])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(map(str, decontaminate.scan(docs, bench).collect()))
+    cut = sorted(map(str, decontaminate.decontaminate(docs, bench, max_coverage=0.9).collect()))
+    built, passes = [], []
+    init, write = decontaminate.ItemAutomaton.__init__, decontaminate.materialize
+
+    def build(*a):
+        built.append(len(passes))
+        init(*a)
+
+    def written(*a):
+        passes.append(len(built))
+        return write(*a)
+
+    monkeypatch.setattr(decontaminate.ItemAutomaton, "__init__", build)
+    monkeypatch.setattr(decontaminate, "materialize", written)
+    got = decontaminate.scan(docs, bench, shard_words=3, held=2).collect()
+    assert sorted(map(str, got)) == want and max(built.count(n) for n in built) <= 2 and len(passes) == 2 and len(built) == 6
+    got = decontaminate.decontaminate(docs, bench, max_coverage=0.9, shard_words=3, held=1)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == cut
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     rows = [(i, " ".join([f"w{rng.randint(0, 200)}" for _ in range(30)] + (["vile"] if i % 4 == 0 else []))) for i in range(800)]
