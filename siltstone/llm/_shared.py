@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,29 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables and files of these operators; results not yet read are lost."""
+    delete_path(spark, f"{shared_dir(spark)}/siltstone")
+
+
+_HELD: dict = {}
+
+
+def worker_memo(key, make: Callable, full: Callable | None = None):
+    """The one memo that a Python worker keeps from task to task.
+
+    Workers outlive tasks and serve operator after operator: who asks with another ``key``, or
+    finds its own memo ``full``, drops what is held, so memos of several operators never add up.
+    """
+    if key not in _HELD or (full and full(_HELD[key])):
+        _HELD.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc: give freed pages back
+            trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def held_out(doc_id):
     """Rows whose crc32(doc_id as text) mod 3 is 1; false for a null doc_id."""
     return F.coalesce((F.crc32(doc_id.cast("string")) % 3) == 1, F.lit(False))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import fresh, materialize, release
+from siltstone.llm._shared import fresh, materialize, release, worker_memo
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
@@ -64,14 +64,9 @@ class Words(dict):
         return n
 
 
-_MEMO: dict[str, Words] = {}
-
-
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    if len(_MEMO.setdefault("words", Words())) > MEMO_WORDS:
-        _MEMO["words"] = Words()
-    words, index, sizes = _MEMO["words"], [], []
+    words, index, sizes = worker_memo("shingles", Words, lambda m: len(m) > MEMO_WORDS), [], []
     for t in texts:
         found = t.encode().translate(_LOWER).split() if t else ()
         index.extend(map(words.__getitem__, found))
@@ -257,29 +252,56 @@ def block_links(rest: DataFrame, sizes: DataFrame, reps: DataFrame, whole: DataF
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, f"u {kind}, v {kind}")
 
 
+def stars(hooks: DataFrame) -> DataFrame:
+    """(member, component) where every chain of (member, component) is followed to its end; takes over ``hooks``."""
+    while True:
+        up = hooks.select(F.col("member").alias("component"), F.col("component").alias("far"))
+        after = materialize(hooks.join(up, "component").select("member", F.col("far").alias("component"), (F.col("far") != F.col("component")).alias("moved")), "hooks")
+        release(hooks)
+        still = after.filter("moved").isEmpty()
+        path, hooks = after._siltstone_path, after.drop("moved")
+        hooks._siltstone_path = path
+        if still:
+            return hooks
+
+
+def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The distinct edges (u, v) between components that ``edges`` make; nodes without a label are their own."""
+    of = lambda end: label.select(F.col("member").alias(end), F.col("component").alias(f"c{end}"))
+    rows = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    rows = rows.select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
+    return materialize(rows.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
+
+
+def merged(label: DataFrame, star: DataFrame) -> DataFrame:
+    """``label`` with its components replaced as ``star`` says, and the members that only ``star`` has."""
+    far = star.select(F.col("member").alias("component"), F.col("component").alias("far"))
+    moved = label.join(far, "component", "left").select("member", F.coalesce("far", "component").alias("component"))
+    return materialize(moved.unionByName(star.join(label.select("member"), "member", "left_anti").select("member", "component")), "labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(member, component) of the nodes of ``edges`` (u, v): the least reachable id.
 
-    Neighbour minima and pointer jumps until nothing changes; each round is
-    written to the shared folder, nothing is gathered on the driver.
+    Every node hooks to its least neighbour, pointer jumps turn the trees into stars, and edges
+    are mapped to the stars' roots; what is left of them is solved the same way. Two rounds at least halve the
+    nodes of each component. Each round is written to the shared folder, nothing is gathered on the driver.
     """
-    both = materialize(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
-    label = materialize(both.groupBy(F.col("u").alias("member")).agg(F.least(F.first("u"), F.min("v")).alias("component")), "labels")
+    now, label = materialize(edges.filter("u <> v").select("u", "v").distinct(), "edges"), None
     while True:
-        near = both.join(label.withColumnsRenamed({"member": "v", "component": "c"}), "v").groupBy(F.col("u").alias("member")).agg(F.min("c").alias("c"))
-        step = label.join(near, "member").select("member", F.col("component").alias("old"), F.least("component", "c").alias("now"))
-        step = materialize(step, "step")
-        jump = step.select(F.col("member").alias("now"), F.col("now").alias("far"))
-        after = materialize(
-            step.join(jump, "now", "left").select("member", "old", F.least("now", F.coalesce("far", "now")).alias("component")), "labels"
-        )
-        done = after.filter("old <> component").isEmpty()
-        release(step, label)
-        label = after
-        if done:
-            release(both)
-            path, label = label._siltstone_path, label.select("member", "component")
-            label._siltstone_path = path
+        both = now.union(now.select("v", "u"))
+        star = stars(materialize(both.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("c")).select("member", F.least("member", "c").alias("component")), "hooks"))
+        after = contracted(now, star)
+        release(now)
+        if label is None:
+            label = star
+        else:
+            both = merged(label, star)
+            release(label, star)
+            label = both
+        now = after
+        if now.isEmpty():
+            release(now)
             return label
 
 
@@ -322,6 +344,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     )
     links = materialize(verified(first, whole, percent), "links")
     label = components(links)
+    release(links)
 
     # more leaders, from the largest leader's component, where a bucket still spans several components
     low, opened = 1, []
@@ -350,11 +373,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
             .distinct()
         )
         more = verified(_alike(pairs, reps, percent), whole, percent)
-        more = materialize(more if blocks is None else more.union(blocks), "links")
+        more = contracted(more if blocks is None else more.union(blocks), label)
         if not more.isEmpty():
-            both = materialize(links.union(more), "links")
-            release(links, more, label)
-            links, label = both, components(both)
+            star = components(more)
+            both = merged(label, star)
+            release(star, label)
+            label = both
+        release(more)
     release(ranked, whole, *opened)
 
     linked = label.withColumnRenamed("member", "rep")
@@ -362,9 +387,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     groups = groups.select(F.col("node").alias("g"), F.coalesce("component", "rep").alias("c"))
     out = base.select("doc_id", "n_shingles", "node").join(groups, (F.col("node") == F.col("g")) & F.col("doc_id").isNotNull(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    out = materialize(
+        out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "groups"
     )
+    release(base, reps, label)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -380,8 +407,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     near = near_duplicates(named.select(F.col(key).alias("doc_id"), "text"), k, percent)
     kept = near.filter("kept").select(F.col("doc_id").alias(key)).distinct()
     named = named.join(kept, key, "left_semi")
-    if repeated:
-        named = named.dropDuplicates([key])
+    if repeated:  # of rows with one number, which differ in other columns at most, that with the least hash of all
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        named = named.groupBy(key).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
     return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
