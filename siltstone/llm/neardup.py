@@ -36,6 +36,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 SMALL = 4096  # pairs of a group that are joined as rows; larger groups are compared block by block
 STRAYS, MEMBERS = 256, 2048  # of a block
+BLOCK_SHINGLES = 1 << 20  # of a block's side; 8 bytes each
 LEADERS = (9, 41)  # members of a bucket's main component that others are compared with before all are
 MEMO_WORDS = 400_000
 
@@ -210,11 +211,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(rest: DataFrame, sizes: DataFrame, reps: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """(u, v) links of the members outside a main component with those of other components, for large groups.
 
-    ``sizes``: main, strays, members. Both sides are cut into blocks of bounded size; a task compares the
+    ``sizes``: main, strays, members and the shingles of either. Both sides are cut into blocks of bounded size; a task compares the
     signatures, then the whole sets, of one block with another and returns only links, and no more than one from a
     document to a component.
     """
-    blocks = sizes.select("main", F.ceil(F.col("strays") / STRAYS).alias("nx"), F.ceil(F.col("members") / MEMBERS).alias("ny"))
+    cut = lambda rows, most: F.greatest(F.ceil(F.col(rows) / most), F.ceil(F.col(f"{rows}_shingles") / BLOCK_SHINGLES))
+    blocks = sizes.select("main", cut("strays", STRAYS).alias("nx"), cut("members", MEMBERS).alias("ny"))
     rows = rest.select("main", "node", "rep", "n", "c").distinct().join(blocks, "main")
     rows = materialize(rows.join(reps.select("node", "sig"), "node").join(whole, "node"), "blocks")
     again = rows.sparkSession.read.schema(rows.schema).parquet(rows._siltstone_path)
@@ -355,8 +357,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
             break
         blocks = None
         if not high:  # last, what is left: members outside the main component with those of other components
-            strays = rest.filter("c <> main").select("main", "node").distinct().groupBy("main").agg(F.count("*").alias("strays"))
-            members = rest.select("main", "node").distinct().groupBy("main").agg(F.count("*").alias("members"))
+            counts = lambda rows, name: rows.select("main", "node", "n").distinct().groupBy("main").agg(F.count("*").alias(name), F.sum("n").alias(f"{name}_shingles"))
+            strays, members = counts(rest.filter("c <> main"), "strays"), counts(rest, "members")
             sizes = materialize(strays.join(members, "main").filter(F.col("strays") * F.col("members") > SMALL), "sizes")
             blocks = block_links(rest, sizes, reps, whole, percent)
             rest = rest.join(sizes.select("main"), "main", "left_anti")
