@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 5
 SMALL = 4096  # pairs of a group that are joined as rows; larger groups are compared block by block
 STRAYS, MEMBERS = 256, 2048  # of a block
 BLOCK_SHINGLES = 1 << 20  # of a block's side; 8 bytes each
-LEADERS = (9, 41)  # members of a bucket's main component that others are compared with before all are
+LEADERS = (9,)  # members of a bucket's main component that others are compared with before all are
 MEMO_WORDS = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
