@@ -43,6 +43,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+SMALL_ROWS = 500_000  # narrow rows of a file
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as few partitions as ``rows`` narrow rows (ids, labels) need, so that rounds over a shrinking graph write no crowds of tiny files."""
+    return df.coalesce(max(1, -(-rows // SMALL_ROWS)))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in tables:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import fresh, materialize, release, worker_memo
+from siltstone.llm._shared import fresh, materialize, narrow, release, worker_memo
 
 PERCENT = 80
 BANDS, ROWS = 32, 5
@@ -254,11 +254,12 @@ def block_links(rest: DataFrame, sizes: DataFrame, reps: DataFrame, whole: DataF
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, f"u {kind}, v {kind}")
 
 
-def stars(hooks: DataFrame) -> DataFrame:
+def stars(hooks: DataFrame, nodes: int) -> DataFrame:
     """(member, component) where every chain of (member, component) is followed to its end; takes over ``hooks``."""
     while True:
         up = hooks.select(F.col("member").alias("component"), F.col("component").alias("far"))
-        after = materialize(hooks.join(up, "component").select("member", F.col("far").alias("component"), (F.col("far") != F.col("component")).alias("moved")), "hooks")
+        after = hooks.join(up, "component").select("member", F.col("far").alias("component"), (F.col("far") != F.col("component")).alias("moved"))
+        after = materialize(narrow(after, nodes), "hooks")
         release(hooks)
         still = after.filter("moved").isEmpty()
         path, hooks = after._siltstone_path, after.drop("moved")
@@ -267,19 +268,21 @@ def stars(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
-def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """The distinct edges (u, v) between components that ``edges`` make; nodes without a label are their own."""
+def contracted(edges: DataFrame, label: DataFrame, most: int | None = None) -> DataFrame:
+    """The distinct edges (u, v) between components that ``edges`` (at most ``most``, if that is known) make; nodes without a label are their own."""
     of = lambda end: label.select(F.col("member").alias(end), F.col("component").alias(f"c{end}"))
     rows = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
     rows = rows.select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).filter("cu <> cv")
-    return materialize(rows.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "edges")
+    rows = rows.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct()
+    return materialize(rows if most is None else narrow(rows, most), "edges")
 
 
 def merged(label: DataFrame, star: DataFrame) -> DataFrame:
     """``label`` with its components replaced as ``star`` says, and the members that only ``star`` has."""
     far = star.select(F.col("member").alias("component"), F.col("component").alias("far"))
     moved = label.join(far, "component", "left").select("member", F.coalesce("far", "component").alias("component"))
-    return materialize(moved.unionByName(star.join(label.select("member"), "member", "left_anti").select("member", "component")), "labels")
+    every = moved.unionByName(star.join(label.select("member"), "member", "left_anti").select("member", "component"))
+    return materialize(narrow(every, label.count() + star.count()), "labels")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,9 +294,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, label = materialize(edges.filter("u <> v").select("u", "v").distinct(), "edges"), None
     while True:
+        n = now.count()  # from the files' footers
         both = now.union(now.select("v", "u"))
-        star = stars(materialize(both.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("c")).select("member", F.least("member", "c").alias("component")), "hooks"))
-        after = contracted(now, star)
+        hooks = both.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("c")).select("member", F.least("member", "c").alias("component"))
+        star = stars(materialize(narrow(hooks, 2 * n), "hooks"), 2 * n)
+        after = contracted(now, star, n)
         release(now)
         if label is None:
             label = star
