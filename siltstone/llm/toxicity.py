@@ -11,7 +11,8 @@ sampled text is used whole. The passes run in one executor task.
 
 Defined results: null and empty texts get the score of the bias alone; without any
 training row all scores are 0.5. A label that is null is ignored, several labels
-of one document count as their maximum. A null doc_id is not held out. Scores read
+of one document count as their maximum; of rows that share a doc_id one text is
+trained on. A null doc_id is not held out. Equal texts get equal scores. Scores read
 text alone; extra columns are ignored by :func:`score` and kept by :func:`clean`.
 """
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import held_out
+from siltstone.llm._shared import held_out, worker_memo
 
 BITS = 20
 POSITIVES, NEGATIVES = 3000, 5000
@@ -54,14 +55,9 @@ class Words(dict):
         return n
 
 
-_MEMO: dict[str, Words] = {}
-
-
 def hashed(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of all texts, and the text that each belongs to; not yet distinct."""
-    if len(_MEMO.setdefault("words", Words())) > MEMO_WORDS:
-        _MEMO["words"] = Words()
-    words, index, sizes = _MEMO["words"], [], []
+    words, index, sizes = worker_memo("toxicity", Words, lambda m: len(m) > MEMO_WORDS), [], []
     for t in texts:
         found = _WORD.findall(t.lower()) if t else ()
         index.extend(map(words.__getitem__, found))
@@ -122,8 +118,8 @@ def sample_ids(labels: DataFrame, positives: int, negatives: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, bits: int = BITS):
     """(indices, weights, bias), or None if no row is labelled."""
     ids = sample_ids(labels, positives, negatives)
-    # at most positives + negatives rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    # at most positives + negatives ids; of rows that share an id one text, that with the least hash
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
     def extract(batches):
         for whole in batches:
