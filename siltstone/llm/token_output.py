@@ -1,8 +1,8 @@
 """Token ids as Parquet list columns (operator 3).
 
 Texts are encoded whole and written in ascending doc_id order as one row per
-document: ``doc_id``, chosen metadata columns, ``n_tokens`` and ``ids`` (list of
-int32, end id included). Encodings are per column: ids either dictionary pages
+document: ``doc_id``, chosen metadata columns, ``n_tokens``, ``before`` (tokens before it
+in its file) and ``ids`` (list of int32, end id included). Encodings are per column: ids either dictionary pages
 (token ids repeat) or DELTA_BINARY_PACKED; row-group and page sizes are set, and
 Parquet's page index is written, so that a reader of a doc_id range, or of
 metadata alone, touches only those pages and columns.
@@ -13,7 +13,8 @@ through the library once per worker while it is held in a bounded memo.
 
 Defined results: a null or empty text is the end id alone. Equal doc_ids are
 ordered by a hash of their text; a null doc_id comes first. Other columns are
-ignored unless they are named as metadata.
+ignored unless they are named as metadata. No rows give no rows; a text of any
+length is one row and one list.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import fresh, running_total, scratch_path
+from siltstone.llm._shared import fresh, scratch_path, worker_memo
 
 END_ID = 1
 MEMO_CHUNKS = 1_000_000
@@ -194,14 +195,9 @@ class ChunkEncoder:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self._gather(first, count)))
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, end_id: int | None = END_ID) -> ChunkEncoder:
     """One encoder per worker process, kept from task to task."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = ChunkEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return worker_memo(("tokens", path, end_id), lambda: ChunkEncoder(path, end_id))
 
 
 def default_tokenizer() -> str:
@@ -230,7 +226,7 @@ def write_tokens(
         raise ValueError(encoding)
     tokenizer = tokenizer or default_tokenizer()
     meta = [c for c in metadata if c in docs.columns]
-    taken = ["doc_id", "n_tokens", "ids", "text"]
+    taken = ["doc_id", "n_tokens", "before", "ids", "text"]
     named = []
     for c in meta:
         named.append(fresh(c, taken + named))
@@ -245,15 +241,18 @@ def write_tokens(
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches):
-        enc = encoder(tokenizer, end_id)
+        enc, held = encoder(tokenizer, end_id), 0
         for whole in batches:
             for batch in sliced(whole, 2000):
                 ids = enc.encode(batch.column("text").to_pylist())
-                n = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, ids], [*batch.schema.names[:-1], "n_tokens", "ids"])
+                n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+                before = np.cumsum(n) - n + held
+                held += int(n.sum())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(before), ids], [*batch.schema.names[:-1], "n_tokens", "before", "ids"])
 
-    out = rows.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "ids array<int>"]))
+    out = rows.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "before long", "ids array<int>"]))
     options = {
+        "maxRecordsPerFile": "0",  # a task's rows are one file
         "compression": "zstd",
         "parquet.block.size": str(row_group),
         "parquet.page.size": str(page),
@@ -266,11 +265,26 @@ def write_tokens(
     out.write.options(**options).parquet(path)
 
 
+def file_number(name):
+    """The number of the task that wrote a file; as text, part-100000 would come before part-99999."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
+def file_starts(rows: DataFrame) -> DataFrame:
+    """(number, base): tokens in all files before each; ``rows``: file_name, n_tokens."""
+    sums = rows.groupBy(file_number(F.col("file_name")).alias("number")).agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    return sums.select("number", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+
+
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
-    """Rows of the files with ``start`` (ids of all rows before it) and the crc32 of the ids read."""
+    """Rows of the files with ``start`` (ids of all rows before it) and the crc32 of the ids read.
+
+    No row is shuffled: ``start`` adds what the files before hold to what the row's file says; two
+    numbers a file are broadcast.
+    """
     at = spark.read.parquet(path)
-    extra = ["ids"] if keep_ids else []
-    rows = at.select("_metadata.file_name", "_metadata.row_index", "doc_id", "ids")
+    rows = at.select(file_number(F.col("_metadata.file_name")).alias("number"), "doc_id", "n_tokens", "before", "ids")
     kind = at.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -279,18 +293,22 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
             offsets = ids.offsets.to_numpy()
             raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            cols = [batch.column("file_name"), batch.column("row_index"), batch.column("doc_id")]
+            cols = [batch.column("number"), batch.column("doc_id"), batch.column("before")]
             cols += [pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())]
-            names = ["file_name", "row_index", "doc_id", "n_tokens", "ids_crc32"]
+            names = ["number", "doc_id", "before", "n_tokens", "ids_crc32"]
             if keep_ids:
                 cols, names = [*cols, ids], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"file_name string, row_index long, doc_id {kind}, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    got = rows.mapInArrow(run, schema)
-    counts = at.select("_metadata.file_name", "n_tokens")  # of the files, only this column is read twice
-    got = running_total(got, [], "file_name", ["row_index"], "n_tokens", "start", counts)
-    return got.select("doc_id", F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32", *extra)
+    schema = f"number long, doc_id {kind}, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    base = file_starts(at.select("_metadata.file_name", "n_tokens"))  # of the files, only this column is read twice
+    got = rows.mapInArrow(run, schema).join(F.broadcast(base), "number")
+    return got.select("doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
+
+
+def select_tokens(spark: SparkSession, path: str, first, last, columns: tuple = ("ids",)) -> DataFrame:
+    """``doc_id`` and ``columns`` of the rows with first <= doc_id <= last; row groups and pages outside the range, and other columns, aren't read."""
+    return spark.read.parquet(path).filter(F.col("doc_id").between(first, last)).select("doc_id", *columns)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = False, metadata: tuple = ("lang", "source")) -> DataFrame:
