@@ -14,7 +14,8 @@ whole sample.
 
 Training uses at most ``per_lang`` rows a language, taken in the order of a hash
 of doc_id from rows with a lang and crc32(doc_id) mod 3 not 1; their texts are
-used whole. Only distinct words and counts of that sample reach the driver.
+used whole (of rows that share doc_id and lang, one). Rows are first thinned by a hash limit
+for each language, so that no task ranks all rows of one. Only distinct words and counts of that sample reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 rejected. With no training row every text is ``und``. Ties go to the language
@@ -212,17 +213,26 @@ class Identifier:
         return [None if z else self.langs[b] for b, z in zip(best, none)], score, none | (score < self.limit)
 
 
+SPARE = 4  # times per_lang rows pass the hash limit, on average
+
+
 def sample_ids(docs: DataFrame, per_lang: int) -> DataFrame:
+    """(doc_id, y): for each language the ids with the ``per_lang`` least hashes."""
     known = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
+    known = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("o"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    limit = sizes.select("lang", F.when(F.col("n") > SPARE * per_lang, SPARE * per_lang / F.col("n")).otherwise(1.0).alias("part"))
+    low = F.col("o") / F.lit(2.0**64) + 0.5  # uniform in [0, 1]
+    ids = known.join(limit, "lang").filter(low <= F.col("part")).select("doc_id", "lang", "o").distinct()
     w = Window.partitionBy("lang").orderBy("o", "doc_id")
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("o")).withColumn("r", F.row_number().over(w))
-    return ranked.filter(F.col("r") <= per_lang).select("doc_id", F.col("lang").alias("y")).distinct()
+    return ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang).select("doc_id", F.col("lang").alias("y"))
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER, target: float = TARGET) -> Identifier:
     ids = sample_ids(docs, per_lang)
-    # at most per_lang rows a language
-    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    # at most per_lang ids a language; of rows that share an id one text, that with the least hash
+    texts = docs.filter("text is not null").select("doc_id", "text", F.col("lang").alias("y")).join(F.broadcast(ids), ["doc_id", "y"])
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
     def count(batches):
         found = defaultdict(Counter)
