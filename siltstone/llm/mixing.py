@@ -10,8 +10,9 @@ Realisation. The budget gives each source a token quota. A source's documents ar
 permuted afresh in each epoch by a hash, epochs follow one another until the quota is
 filled, and the stream is cut into blocks so that every block holds each source in
 proportion to its weight. Positions come from two-level prefix sums: documents meet
-per (source, epoch, hash bucket), buckets hold ``bucket_docs`` documents on average, and only
-bucket totals meet per source, so a source with a third of all rows is no hot key.
+per (source, epoch, hash bucket), only bucket totals meet per source. Buckets hold ``bucket_docs``
+documents on average, or the root of the source's number of documents if that is more, so of a source
+with a third of all rows neither many rows nor many totals meet in a task.
 
 Defined results: a null source is a source of its own (null); a null text has 0
 tokens; a source without tokens gets weight 0 and no row unless ``keep_all``. Rows
@@ -148,7 +149,7 @@ def schedule(
     plan = weights.filter(F.lit(keep_all) | (F.col("quota") > 0)).select(
         F.col("source").alias("s"),
         "quota",
-        F.ceil(F.col("docs") / bucket_docs).alias("buckets"),
+        F.ceil(F.col("docs") / F.greatest(F.lit(float(bucket_docs)), F.sqrt("docs"))).alias("buckets"),
         F.greatest(F.ceil("repeats"), F.lit(1)).alias("epochs"),
     )
     rows = counted.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -189,7 +190,8 @@ def mix(docs: DataFrame, max_repeat: float = MAX_REPEAT, block_tokens: int = BLO
 ORACLE = r"""
 WITH RECURSIVE c AS MATERIALIZED (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	
-]+')) AS BIGINT) AS tokens FROM documents),
+
+]+')) AS BIGINT) AS tokens FROM documents),
 s0 AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM c GROUP BY source),
 s AS MATERIALIZED (SELECT source, docs, tokens, tokens / (SELECT sum(tokens)::DOUBLE FROM s0) AS share FROM s0),
 goal AS (SELECT 0.95 * ln(count(*)) AS g FROM s WHERE share > 0),
