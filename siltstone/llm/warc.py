@@ -6,17 +6,21 @@ become ``revisit`` records without payload that refer to it. The records go out
 through Spark's text writer with the record terminator as line separator, so any
 file system that Spark reaches will do and failed tasks leave nothing behind.
 
-Reading. Archives are cut into byte ranges. A task finds every ``WARC/1.`` in its
-range that parses as a header (payloads may hold such text too) and emits the offset
-together with where the chain of content lengths from it leaves the range. Pointer
-jumping over these links, from offset 0 of each file, keeps the one true entry of
-each range; a second pass walks from there and parses only reachable records.
+Reading. Archives are cut into byte ranges, a task for each. A task finds every
+``WARC/1.`` in its range that parses as a header (payloads may hold such text too) and
+emits the offset together with where the chain of content lengths from it leaves the
+range. Pointer jumping over these links, from offset 0 of each file, keeps the one true
+entry of each range; a second pass walks from there and parses only reachable records.
+Either pass reads a byte once, in windows, and beyond its range only what a record that
+begins in it needs; a task holds a window and one record. Files are opened by pyarrow
+(local, S3, GCS, Azure, HDFS by libhdfs); a scheme that it doesn't know is an error.
 
 Defined results: a null html is the empty payload. Without page_id a row is written,
 never referred to, and read back with a null page_id. Repeated rows of the largest
 page_id are all responses. Payloads under ``min_payload`` bytes are all responses.
 A file whose chain breaks yields the records before the break. A null url leaves its
-header out. Other columns are not written.
+header out. Other columns are not written. No pages make no archive and no rows. A
+header, like a payload, may be of any length.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from siltstone.llm._shared import materialize, release, scratch_path
 
 SPLIT = 8 << 20
-HEADER = 64 << 10  # read beyond a range at first; longer headers are read on
-BROADCAST_GROUPS = 200_000  # groups of equal payloads, of about 100 bytes each
+MOST_RANGES = 200_000  # ranges grow beyond that
+READ = 4 << 20  # bytes of a window
+HEADER = 4 << 10  # read at first where a header crosses the end of a range; longer ones are read on
+BROADCAST_GROUPS = 200_000  # groups of equal payloads, of about 100 bytes each; only the join's plan depends on it
 END = "\r\n\r\n"
 MAGIC = b"WARC/1."
 
@@ -104,30 +110,46 @@ def header_at(data: bytes, at: int):
 
 
 class Archive:
-    """Byte ranges of a file, by pyarrow's file systems or from bytes at hand."""
+    """A file by pyarrow's file systems; counts the bytes it reads."""
 
-    def __init__(self, path: str, length: int, content: bytes | None = None):
-        self.length, self.content = length, content
-        if content is None:
-            from pyarrow import fs
+    def __init__(self, path: str, length: int):
+        from pyarrow import fs
 
-            parts = urlsplit(path)
-            at = (fs.LocalFileSystem(), parts.path) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
-            self.file = at[0].open_input_file(at[1])
+        scheme = urlsplit(path).scheme
+        at = (fs.LocalFileSystem(), urlsplit(path).path) if scheme in ("", "file") else fs.FileSystem.from_uri("s3" + path[len(scheme) :] if scheme in ("s3a", "s3n") else path)
+        self.length, self.bytes_read, self.file = length, 0, at[0].open_input_file(at[1])
 
     def read(self, start: int, size: int) -> bytes:
         size = max(0, min(size, self.length - start))
-        if self.content is not None:
-            return self.content[start : start + size]
-        return self.file.read_at(size, start)
+        self.bytes_read += size
+        return self.file.read_at(size, start) if size else b""
+
+
+class Window:
+    """Bytes of a range, read in order and once; ``to`` is where the range ends."""
+
+    def __init__(self, archive: Archive, start: int, to: int):
+        self.archive, self.low, self.to, self.data = archive, start, to, b""
+
+    def bytes(self, at: int, size: int) -> bytes:
+        """``size`` bytes from ``at``, fewer at the file's end; ``at`` never goes back."""
+        lack = at + size - self.low - len(self.data)
+        if lack > 0:
+            ahead = min(READ, self.to - self.low - len(self.data))  # never beyond the range without need
+            old, high = self.data[at - self.low :], self.low + len(self.data)
+            if at > high:  # what lies between isn't wanted
+                old, lack, high = b"", size, at
+                ahead = min(READ, self.to - at)
+            self.data, self.low = old + self.archive.read(high, max(lack, ahead)), at
+        return self.data[at - self.low : at - self.low + size]
 
     def header(self, at: int):
-        """Like header_at, reading on while the header goes on."""
+        """Like header_at, with the end counted from ``at``; reads on while the header goes on."""
         size = HEADER
         while True:
-            data = self.read(at, size)
+            data = self.bytes(at, size)
             found = header_at(data, 0)
-            if found or data[: len(MAGIC)] != MAGIC or b"\r\n\r\n" in data or at + size >= self.length:
+            if found or data[: len(MAGIC)] != MAGIC or b"\r\n\r\n" in data or at + size >= self.archive.length:
                 return found
             size *= 4
 
@@ -137,14 +159,18 @@ def links_of(archive: Archive, start: int, end: int) -> list[tuple[int, int]]:
 
     exit: the first offset at or after ``end`` on the chain from it; -1 if the chain breaks.
     """
-    data = archive.read(start, end - start + HEADER)
-    follow, at = {}, data.find(MAGIC)
-    while 0 <= at < end - start:
-        found = header_at(data, at)
-        found = (found[0], found[1] - at) if found else archive.header(start + at)
-        if found:
-            follow[start + at] = start + at + found[1] + int(found[0]["content-length"]) + 4
-        at = data.find(MAGIC, at + 1)
+    window, follow = Window(archive, start, end), {}
+    for region in range(start, end, READ):
+        stop = min(region + READ, end)
+        data = window.bytes(region, stop - region + len(MAGIC) - 1)
+        at = data.find(MAGIC)
+        while at >= 0:
+            o = region + at
+            found = header_at(data, at)
+            found = (found[0], found[1] - at) if found else Window.header(window, o) if data.find(b"\r\n\r\n", at) < 0 else None
+            if found:
+                follow[o] = o + found[1] + int(found[0]["content-length"]) + 4
+            at = data.find(MAGIC, at + 1)
     out: dict[int, int] = {}
     for o in sorted(follow, reverse=True):
         s = follow[o]
@@ -154,31 +180,32 @@ def links_of(archive: Archive, start: int, end: int) -> list[tuple[int, int]]:
 
 def records_from(archive: Archive, entry: int, end: int):
     """(offset, fields, block) of the records from ``entry`` that begin before ``end``."""
-    at = entry
+    at, window = entry, Window(archive, entry, end)
     while at < min(end, archive.length):
-        found = archive.header(at)
+        found = window.header(at)
         if not found:
             return
         size = int(found[0]["content-length"])
         if at + found[1] + size + 4 > archive.length:
             return
-        yield at, found[0], archive.read(at + found[1], size)
+        yield at, found[0], window.bytes(at + found[1], size)
         at += found[1] + size + 4
 
 
-def _ranges(spark: SparkSession, path: str, split: int) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    if urlsplit(path).scheme in ("", "file", "s3", "gs", "gcs"):
-        rows = files.select("path", "length", F.lit(None).cast("binary").alias("content"))
-        starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))
-        rows = rows.filter("length > 0").withColumn("start", F.explode(starts))
-        return rows.withColumn("end", F.least(F.col("start") + split, F.col("length"))).repartition("path", "start")
-    # schemes that only Spark opens: a file is one range
-    return files.filter("length > 0").select("path", "length", "content", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+def _ranges(spark: SparkSession, path: str, split: int) -> tuple[DataFrame, int]:
+    """path, length, start, end of each byte range; how many there are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path", "length").filter("length > 0")
+    total = files.agg(F.sum("length")).head()[0] or 0
+    split = max(split, -(-total // MOST_RANGES))
+    pieces = files.withColumn("n", F.ceil(F.col("length") / split).cast("long"))
+    count = pieces.agg(F.sum("n")).head()[0] or 1
+    rows = pieces.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("n") * F.lit(split)).drop("n")
+    return materialize(rows.withColumn("end", F.least(F.col("start") + split, F.col("length"))), "ranges"), count
 
 
-def _open(batch, n) -> Archive:
-    return Archive(*(batch.column(c)[n].as_py() for c in ("path", "length", "content")))
+def _dealt(ranges: DataFrame, tasks: int) -> DataFrame:
+    """A range to a task: their rows are tiny, so without a number AQE would put all in one."""
+    return ranges.repartitionByRange(tasks, "path", "start")
 
 
 def entries(ranges: DataFrame) -> DataFrame:
@@ -188,7 +215,7 @@ def entries(ranges: DataFrame) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 path, start, end = (batch.column(c)[n].as_py() for c in ("path", "start", "end"))
-                found = links_of(_open(batch, n), start, end)
+                found = links_of(Archive(path, batch.column("length")[n].as_py()), start, end)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(found), pa.string()), pa.array([start] * len(found), pa.int64()), pa.array([o for o, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())],
                     ["path", "start", "offset", "leaves"],
@@ -218,16 +245,17 @@ def entries(ranges: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str, split: int = SPLIT, payloads: bool = False) -> DataFrame:
     """A row for each reachable record: page id as text, payload size and digest, type, what it refers to."""
-    ranges = _ranges(spark, path, split)
-    rows = ranges.join(entries(ranges), ["path", "start"])
+    ranges, tasks = _ranges(spark, path, split)
+    rows = _dealt(ranges.join(entries(_dealt(ranges, tasks)), ["path", "start"]), tasks)
 
     def run(batches):
         for batch in batches:
             for n in range(batch.num_rows):
                 entry, end = batch.column("entry")[n].as_py(), batch.column("end")[n].as_py()
                 out, held = [], 0
-                for at, fields, block in records_from(_open(batch, n), entry, end):
-                    out.append(_row(batch.column("path")[n].as_py(), at, fields, block))
+                path, length = batch.column("path")[n].as_py(), batch.column("length")[n].as_py()
+                for at, fields, block in records_from(Archive(path, length), entry, end):
+                    out.append(_row(path, at, fields, block))
                     held += len(block) if payloads else 0
                     if held > SPLIT:
                         yield _batch(out, payloads)
@@ -235,7 +263,7 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT, payloads:
                 yield _batch(out, payloads)
 
     kinds = "path string, offset long, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, intact boolean"
-    return rows.select("path", "length", "content", "start", "end", "entry").mapInArrow(run, kinds + ", payload binary" * payloads)
+    return rows.select("path", "length", "start", "end", "entry").mapInArrow(run, kinds + ", payload binary" * payloads)
 
 
 def _page(uri: str | None) -> str | None:

@@ -216,28 +216,59 @@ def record(payload: bytes, kind=b"resource") -> bytes:
     return b"WARC/1.1\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload + b"\r\n\r\n"
 
 
-def test_chain_rejects_magic_in_payloads():
+def archive_of(tmp_path, data: bytes):
+    path = tmp_path / "a.txt"
+    path.write_bytes(data)
+    return warc.Archive(str(path), len(data))
+
+
+@pytest.mark.parametrize("window", [100, 1 << 20])
+def test_chain_rejects_magic_in_payloads(tmp_path, monkeypatch, window):
+    monkeypatch.setattr(warc, "READ", window)
+    monkeypatch.setattr(warc, "HEADER", 32)
     rng = random.Random(5)
     fake = record(b"inner")
     for split in (64, 200, 1000, 1 << 20):
         payloads = [rng.randbytes(rng.randint(0, 300)) + (fake if n % 3 == 0 else b"") for n in range(40)]
         data = b"".join(map(record, payloads))
-        archive = warc.Archive("x", len(data), data)
         entry, seen = 0, []
         for start in range(0, len(data), split):
             end = min(start + split, len(data))
-            links = dict(warc.links_of(archive, start, end))
+            links = dict(warc.links_of(archive_of(tmp_path, data), start, end))
             if start <= entry < end:
-                seen += [b for _, _, b in warc.records_from(archive, entry, end)]
+                seen += [b for _, _, b in warc.records_from(archive_of(tmp_path, data), entry, end)]
                 entry = links[entry]
         assert seen == payloads and entry == len(data)
 
 
-def test_broken_chain():
+def test_archive_bytes_are_read_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 64 << 10)
+    rng = random.Random(6)
+    data = b"".join(record(rng.randbytes(rng.randint(0, 4000))) for _ in range(500))
+    linked = walked = entry = 0
+    for start in range(0, len(data), 1 << 18):
+        end = min(start + (1 << 18), len(data))
+        archive = archive_of(tmp_path, data)
+        links = dict(warc.links_of(archive, start, end))
+        linked += archive.bytes_read
+        archive = archive_of(tmp_path, data)
+        assert sum(1 for _ in warc.records_from(archive, entry, end))
+        walked += archive.bytes_read
+        entry = links[entry]
+    assert linked <= 1.2 * len(data) and walked <= 1.2 * len(data)
+
+
+def test_long_header(tmp_path):
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a/WARC/1.0/" + b"x" * 200_000 + b"\r\nContent-Length: 1\r\n\r\na\r\n\r\n" + record(b"b")
+    assert [b for _, _, b in warc.records_from(archive_of(tmp_path, data), 0, len(data))] == [b"a", b"b"]
+    links = dict(warc.links_of(archive_of(tmp_path, data), 0, 100))
+    assert links[0] == len(data) - len(record(b"b"))
+
+
+def test_broken_chain(tmp_path):
     data = record(b"a") + b"garbage" + record(b"b")
-    archive = warc.Archive("x", len(data), data)
-    assert [b for _, _, b in warc.records_from(archive, 0, len(data))] == [b"a"]
-    assert dict(warc.links_of(archive, 0, len(data)))[0] == -1
+    assert [b for _, _, b in warc.records_from(archive_of(tmp_path, data), 0, len(data))] == [b"a"]
+    assert dict(warc.links_of(archive_of(tmp_path, data), 0, len(data)))[0] == -1
 
 
 def test_crc_of_ids():

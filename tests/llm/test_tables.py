@@ -259,6 +259,20 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_tasks_and_join_plans(spark, monkeypatch):
+    df = spark.createDataFrame([(n, f"http://{n}", "x" * (n % 7) * 50) for n in range(400)], "page_id long, url string, html string").repartition(2)
+    want = sorted(warc.round_trip(df).collect())
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)  # payloads are shuffled to their groups
+    assert sorted(warc.round_trip(df).collect()) == want
+    monkeypatch.setattr(warc, "MOST_RANGES", 6)
+    path = warc.scratch_path(spark, "warc")
+    warc.write_archives(warc.plan_records(df), path)
+    ranges, tasks = warc._ranges(spark, path, 100)
+    assert 6 <= tasks <= 8 and ranges.count() == tasks and warc._dealt(ranges, tasks).rdd.getNumPartitions() == tasks
+    got = warc.read_archives(spark, path, 100)
+    assert got.count() == 400 and got.filter("intact").count() == 400
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, " ".join(["t"] * (1 + i % 7)), "big" if i < 600 else f"s{i % 5}") for i in range(700)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
