@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking (operator 5); DataFrame functions only.
 
-Lines that start with ``>`` markers are quotes; the number of markers is the level. A
-quoted passage is a quoted line, normalised (lower case, runs of white space as one
-space) and hashed. It is joined to the latest earlier message of the conversation
-that has it as a line of its own; the message with most passages found at the lowest
-level that finds any is what is replied to (ties: the later message).
+Lines that start with ``>`` markers are quotes; the number of markers is the level.
+Passages are runs of lines of one level without a blank line between them. Quoted
+passages, and each of their lines, are normalised (lower case, runs of white space as
+one space) and hashed. Each hash is joined to the latest earlier message of the
+conversation that has that passage or line as its own. The message with most quoted lines found
+(a passage counts as many as it has, besides its lines) at the lowest level that finds
+any is what is replied to (ties: the later message).
 Attribution lines ("On ... wrote:") go with the quotes. Conversations are then put in
 reply order: threads by their first turn, messages in a thread by turn, quotes gone.
 
@@ -15,7 +17,8 @@ conversation, or one very common line, may hold a large part of all rows.
 Defined results: a null text is an empty message. Rows with a null conv_id or turn
 are linked with nothing; they are ordered like others, nulls first. Repeated (conv_id, turn)
 rows get the same links and follow one another, ordered by role and text. Extra
-columns are ignored.
+columns are ignored. No messages give no rows. A text of any length is parsed whole;
+the work grows with its lines.
 """
 
 from __future__ import annotations
@@ -39,49 +42,81 @@ def _normal(line):
     return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r]+", " "))
 
 
+def with_quotes(messages: DataFrame) -> DataFrame:
+    """``messages`` as a mail client would send them: the text follows an attribution line and the
+    whole message replied to, which is quoted once, with the one it replied to in turn quoted twice.
+
+    A turn replies to the one before, each third turn to the one before that; turns without
+    such a message stay as they are. Of repeated turns the least role and text are quoted.
+    """
+    before = lambda turn: turn - F.when(turn % 3 == 2, 2).otherwise(1)
+    said = messages.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    named = lambda n: said.select(F.col("conv_id").alias(f"c{n}"), F.col("turn").alias(f"t{n}"), F.col("role").alias(f"r{n}"), F.col("text").alias(f"x{n}"))
+    marked = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    rows = messages.select("conv_id", "turn", "role", "text", before(F.col("turn")).alias("up"))
+    rows = rows.withColumn("upper", before(F.col("up")))
+    rows = rows.join(named(1), (F.col("conv_id") == F.col("c1")) & (F.col("up") == F.col("t1")), "left")
+    rows = rows.join(named(2), (F.col("conv_id") == F.col("c2")) & (F.col("upper") == F.col("t2")), "left")
+    quote = F.concat(
+        F.lit("On turn "), F.col("up").cast("string"), F.lit(" "), F.coalesce("r1", F.lit("")), F.lit(" wrote:\n"),
+        F.coalesce(marked(F.col("x2"), ">> "), F.lit("")), marked(F.col("x1"), "> "), F.lit("\n"), F.coalesce("text", F.lit("")),
+    )
+    return rows.select("conv_id", "turn", "role", F.coalesce(quote, F.col("text")).alias("text"))
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds own_text, own and quoted (arrays of level and line) to conv_id, turn, role."""
-    lines = F.transform(
-        _lines(F.col("text")),
-        lambda x: F.struct(x.alias("line"), F.length(F.regexp_replace(F.regexp_extract(x, QUOTE, 0), "[^>]", "")).alias("level")),
-    )
-    own = F.filter("lines", lambda x: (x.level == 0) & ~(F.exists("lines", lambda y: y.level > 0) & x.line.rlike(ATTRIBUTION)))
-    own_text = F.trim(F.array_join(F.transform(own, lambda x: x.line), "\n"))
-    rows = messages.select("conv_id", "turn", "role", "text", lines.alias("lines"))
+    """conv_id, turn, role, own_text, n_quoted (lines), and the keys ``quoted`` (level, hash, weight) and ``own`` (hashes)."""
+    raw = F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("line"), F.length(F.regexp_replace(F.regexp_extract(x, QUOTE, 0), "[^>]", "")).alias("level")))
+    rows = messages.select("conv_id", "turn", "role", raw.alias("raw"))
+    quotes = F.exists("raw", lambda y: y.level > 0)
+    level = lambda x: F.when((x.level == 0) & x.line.rlike(ATTRIBUTION) & F.col("quotes"), -1).otherwise(x.level)
+    rows = rows.withColumn("quotes", quotes)
+    rows = rows.withColumn("lines", F.transform("raw", lambda x: F.struct(x.line.alias("line"), level(x).alias("level"), _normal(F.regexp_replace(x.line, QUOTE, "")).alias("norm"))))
+    own_text = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x.level == 0), lambda x: x.line), "\n"))
+    at = lambda i: F.get(F.col("lines"), i)
+    begins = lambda i: (i == 0) | (at(i)["level"] != at(i - 1)["level"]) | ((at(i)["norm"] == "") != (at(i - 1)["norm"] == ""))
+    rows = rows.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), begins))
+    run = lambda i, n: F.struct(i.alias("a"), (F.coalesce(F.get(F.col("begins"), n + 1), F.size("lines")) - i).alias("n"))
+    runs = F.filter(F.transform("begins", run), lambda r: (r.n > 1) & (at(r.a)["norm"] != "") & (at(r.a)["level"] >= 0))
+    text = lambda r: F.array_join(F.transform(F.slice("lines", r.a + 1, r.n), lambda x: x.norm), "\n")
+    passages = F.transform(runs, lambda r: F.struct(at(r.a)["level"].alias("level"), F.sha2(text(r), 256).alias("h"), r.n.alias("weight")))
+    single = F.transform(F.filter("lines", lambda x: (x.norm != "") & (x.level >= 0)), lambda x: F.struct(x.level.alias("level"), F.sha2(x.norm, 256).alias("h"), F.lit(1).alias("weight")))
+    rows = rows.withColumn("keys", F.concat(single, passages))
     return rows.select(
         "conv_id",
         "turn",
         "role",
         F.regexp_replace(own_text, r"^\n+|\n+$", "").alias("own_text"),
-        F.transform(F.filter("lines", lambda x: x.level > 0), lambda x: F.struct(x.level.alias("level"), _normal(F.regexp_replace(x.line, QUOTE, "")).alias("line"))).alias("quoted"),
-        F.array_distinct(F.transform(own, lambda x: _normal(x.line))).alias("own"),
+        F.size(F.filter("lines", lambda x: x.level > 0)).cast("long").alias("n_quoted"),
+        F.filter("keys", lambda k: k.level > 0).alias("quoted"),
+        F.transform(F.filter("keys", lambda k: k.level == 0), lambda k: k.h).alias("own"),
     )
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, found): what each quoting message replies to."""
     known = parsed.filter("conv_id is not null and turn is not null")
-    quoted = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.sha2("q.line", 256).alias("h"), F.col("q.line").alias("line")
-    )
-    quoted = materialize(quoted.filter("line <> ''").drop("line").distinct(), "quoted")
-    own = known.select("conv_id", "turn", F.explode("own").alias("line")).filter("line <> ''")
-    own = own.select("conv_id", "turn", F.sha2("line", 256).alias("h")).join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
+    quoted = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h", "q.weight")
+    quoted = materialize(quoted.distinct(), "quoted")
+    own = known.select("conv_id", "turn", F.explode("own").alias("h"))
+    own = own.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
     own = materialize(own.select("conv_id", "h", "turn", F.floor(F.col("turn") / SPAN).alias("bucket")).distinct(), "own")
 
     # the latest own turn in earlier buckets, then within the bucket
-    events = quoted.select("conv_id", "h", F.floor(F.col("turn") / SPAN).alias("bucket"), "turn", "level", F.lit(None).cast(own.schema["turn"].dataType).alias("own_turn"))
-    events = events.unionByName(own.select("conv_id", "h", "bucket", "turn", F.lit(None).cast("int").alias("level"), F.col("turn").alias("own_turn")))
+    events = quoted.select("conv_id", "h", F.floor(F.col("turn") / SPAN).alias("bucket"), "turn", "level", "weight", F.lit(None).cast(own.schema["turn"].dataType).alias("own_turn"))
+    events = events.unionByName(own.select("conv_id", "h", "bucket", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("weight"), F.col("turn").alias("own_turn")))
     tops = events.groupBy("conv_id", "h", "bucket").agg(F.max("own_turn").alias("top"))
     before = Window.partitionBy("conv_id", "h").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("conv_id", "h", "bucket", F.max("top").over(before).alias("earlier"))
     within = Window.partitionBy("conv_id", "h", "bucket").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = events.withColumn("near", F.max("own_turn").over(within)).filter("level is not null").join(tops, ["conv_id", "h", "bucket"])
-    found = found.select("conv_id", "turn", "level", F.coalesce("near", "earlier").alias("reply_to")).filter("reply_to is not null")
+    found = found.select("conv_id", "turn", "level", "weight", F.coalesce("near", "earlier").alias("reply_to")).filter("reply_to is not null")
 
-    votes = found.groupBy("conv_id", "turn", "level", "reply_to").agg(F.count("*").alias("n"))
+    votes = found.groupBy("conv_id", "turn", "level", "reply_to").agg(F.sum("weight").alias("n"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "reply_to")).alias("best"))
-    return materialize(best.select("conv_id", "turn", F.col("best.reply_to").alias("reply_to"), F.col("best.n").alias("found")), "replies")
+    out = materialize(best.select("conv_id", "turn", F.col("best.reply_to").alias("reply_to"), F.col("best.n").alias("found")), "replies")
+    release(quoted, own)
+    return out
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
@@ -99,9 +134,9 @@ def thread_roots(links: DataFrame) -> DataFrame:
 
 def conversations(messages: DataFrame) -> DataFrame:
     """One row per message in reply order: conv_id, turn, role, reply_to, thread_root, reply_pos, n_quoted, own_text, rendered."""
-    parsed = parse(messages)
+    parsed = materialize(parse(messages), "parsed")  # read three times; filters pushed into it would parse for each line
     links = reply_links(parsed)
-    rows = parsed.select("conv_id", "turn", "role", "own_text", F.size("quoted").cast("long").alias("n_quoted"))
+    rows = parsed.select("conv_id", "turn", "role", "own_text", "n_quoted")
     if links.isEmpty():
         rows = rows.withColumn("reply_to", F.lit(None).cast(messages.schema["turn"].dataType)).withColumn("thread_root", F.col("turn"))
     else:
@@ -128,27 +163,41 @@ def transcripts(ordered: DataFrame, messages: int = 64) -> DataFrame:
     return rows.select("conv_id", "part", F.array_join("m.rendered", "").alias("text"))
 
 
-ORACLE = r"""
-WITH RECURSIVE l AS MATERIALIZED (
-  SELECT conv_id, turn, role, row_number() OVER () AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
-x AS (SELECT *, list_transform(ls, lambda y: length(regexp_replace(regexp_extract(y, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g'))) AS lv FROM l),
-o AS MATERIALIZED (
-  SELECT conv_id, turn, role, id, len(list_filter(lv, lambda v: v > 0)) AS n_quoted,
-    list_filter(list_transform(range(1, len(ls) + 1), lambda i: {'line': ls[i], 'level': lv[i]}),
-      lambda z: z.level = 0 AND NOT (len(list_filter(lv, lambda v: v > 0)) > 0 AND regexp_matches(z.line, '^(On|Am|Le|El) .* (wrote|schrieb|a écrit|escribió) ?:[ \t\r]*$'))) AS own,
-    list_filter(list_transform(range(1, len(ls) + 1), lambda i: {'line': ls[i], 'level': lv[i]}), lambda z: z.level > 0) AS quoted FROM x),
-ol AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(u.line), '[ \t\r]+', ' ', 'g'), ' ') AS line FROM (SELECT conv_id, turn, unnest(own) AS u FROM o)),
-ql AS (SELECT DISTINCT conv_id, turn, u.level AS level, trim(regexp_replace(lower(regexp_replace(u.line, '^[ \t]*(?:>[ \t]*)+', '')), '[ \t\r]+', ' ', 'g'), ' ') AS line FROM (SELECT conv_id, turn, unnest(quoted) AS u FROM o)),
-f AS (SELECT q.conv_id, q.turn, q.level, q.line, max(ol.turn) AS reply_to FROM ql q JOIN ol ON q.conv_id = ol.conv_id AND q.line = ol.line AND ol.turn < q.turn WHERE q.line <> '' GROUP BY ALL),
-v AS (SELECT conv_id, turn, level, reply_to, count(*) AS n FROM f GROUP BY ALL),
+#: links of a table ``sent``: conv_id, turn, role, text
+ORACLE_LINKS = r"""
+l AS MATERIALIZED (SELECT conv_id, turn, role, row_number() OVER () AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM sent),
+x AS (SELECT *, list_transform(ls, lambda y: length(regexp_replace(regexp_extract(y, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g'))) AS l0 FROM l),
+y AS MATERIALIZED (
+  SELECT conv_id, turn, role, id, ls,
+    list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN l0[i] = 0 AND list_max(l0) > 0 AND regexp_matches(ls[i], '^(On|Am|Le|El) .* (wrote|schrieb|a écrit|escribió) ?:[ \t\r]*$') THEN -1 ELSE l0[i] END) AS lv,
+    list_transform(ls, lambda z: trim(regexp_replace(lower(regexp_replace(z, '^[ \t]*(?:>[ \t]*)+', '')), '[ \t\r]+', ' ', 'g'), ' ')) AS nm FROM x),
+e AS MATERIALIZED (SELECT id, conv_id, turn, i, lv[i] AS level, nm[i] AS line FROM y, unnest(range(1, len(ls) + 1)) AS t(i)),
+g AS (SELECT *, sum(CASE WHEN level IS NOT DISTINCT FROM pl AND (line = '') IS NOT DISTINCT FROM (pn = '') THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run
+  FROM (SELECT *, lag(level) OVER (PARTITION BY id ORDER BY i) AS pl, lag(line) OVER (PARTITION BY id ORDER BY i) AS pn FROM e)),
+k AS MATERIALIZED (
+  SELECT DISTINCT conv_id, turn, level, line AS key, 1 AS weight FROM e WHERE line <> '' AND level >= 0
+  UNION
+  SELECT DISTINCT conv_id, turn, min(level), string_agg(line, chr(10) ORDER BY i), count(*) FROM g WHERE line <> '' AND level >= 0 GROUP BY id, conv_id, turn, run HAVING count(*) > 1),
+f AS (SELECT q.conv_id, q.turn, q.level, q.key, q.weight, max(o.turn) AS reply_to FROM k q JOIN k o ON q.conv_id = o.conv_id AND q.key = o.key AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+v AS (SELECT conv_id, turn, level, reply_to, sum(weight) AS n FROM f GROUP BY ALL),
 r AS MATERIALIZED (SELECT conv_id, turn, reply_to FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, reply_to DESC) = 1),
 up(conv_id, turn, root) AS (SELECT conv_id, turn, reply_to FROM r UNION ALL SELECT up.conv_id, up.turn, r.reply_to FROM up JOIN r ON up.conv_id = r.conv_id AND up.root = r.turn),
 top AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL),
 t AS (
-  SELECT o.conv_id, o.turn, o.role, r.reply_to, coalesce(top.root, o.turn) AS thread_root, CAST(n_quoted AS BIGINT) AS n_quoted,
-    regexp_replace(trim(array_to_string(list_transform(own, lambda z: z.line), chr(10)), ' '), '^\n+|\n+$', '', 'g') AS own_text
-  FROM o LEFT JOIN r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT JOIN top ON top.conv_id = o.conv_id AND top.turn = o.turn)
+  SELECT y.conv_id, y.turn, y.role, r.reply_to, coalesce(top.root, y.turn) AS thread_root, CAST(len(list_filter(lv, lambda z: z > 0)) AS BIGINT) AS n_quoted,
+    regexp_replace(trim(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: lv[i] = 0), lambda i: ls[i]), chr(10)), ' '), '^\n+|\n+$', '', 'g') AS own_text
+  FROM y LEFT JOIN r ON r.conv_id = y.conv_id AND r.turn = y.turn LEFT JOIN top ON top.conv_id = y.conv_id AND top.turn = y.turn)
 SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY thread_root NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, own_text NULLS FIRST) AS BIGINT) AS reply_pos,
   '<|' || coalesce(role, '') || '|>' || chr(10) || own_text || chr(10) AS rendered
 FROM t
 """
+ORACLE = r"""
+WITH RECURSIVE said AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY 1, 2),
+ups AS (SELECT *, CASE WHEN up % 3 = 2 THEN up - 2 ELSE up - 1 END AS upper FROM (SELECT *, CASE WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END AS up FROM conversations)),
+sent AS (
+  SELECT m.conv_id, m.turn, m.role, CASE WHEN a.text IS NULL THEN m.text ELSE
+    'On turn ' || up || ' ' || coalesce(a.role, '') || ' wrote:' || chr(10)
+    || coalesce('>> ' || replace(b.text, chr(10), chr(10) || '>> ') || chr(10), '')
+    || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(m.text, '') END AS text
+  FROM ups m LEFT JOIN said a ON a.conv_id = m.conv_id AND a.turn = m.up LEFT JOIN said b ON b.conv_id = m.conv_id AND b.turn = m.upper),
+""" + ORACLE_LINKS

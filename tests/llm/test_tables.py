@@ -357,12 +357,35 @@ def test_chat_sql(spark):
             rows.append((c, t, "user", quoted + own))
             said.append(own)
     con = duckdb.connect()
-    con.register("conversations", pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))))
-    cursor = con.execute(chat.ORACLE)
-    names = [c[0] for c in cursor.description]
-    want = sorted(map(str, cursor.fetchall()))
-    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(names)
-    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    table = pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows)))))
+    con.register("conversations", table)
+    con.register("sent", table)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for sql, messages in (("WITH RECURSIVE " + chat.ORACLE_LINKS.lstrip(), df), (chat.ORACLE, chat.with_quotes(df))):
+        cursor = con.execute(sql)
+        names = [c[0] for c in cursor.description]
+        want = sorted(map(str, cursor.fetchall()))
+        got = chat.conversations(messages).select(names)
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_chat_passages(spark):
+    rows = [
+        (1, 0, "a", "same\nfirst line\nsecond line\n\nlast"),
+        (1, 1, "b", "same\nother"),
+        (1, 2, "c", "On Monday a wrote:\n> same\n> first line\n> second line\nI agree"),  # "same" alone would be turn 1
+        (1, 3, "d", "Am Dienstag c schrieb:\n>> second line\n> I agree\nSo do I"),
+        (1, 4, "e", "> same\nWhich?"),
+        (1, 5, "f", "> " + "word " * 50_000 + "\n" + "line\n" * 3000),
+        (1, 5, "f", "> " + "word " * 50_000 + "\n" + "line\n" * 3000),
+    ]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {r.turn: r for r in got}
+    assert [by[t].reply_to for t in range(6)] == [None, None, 0, 2, 1, None] and by[3].own_text == "So do I" and len(got) == 7
+    plain = spark.createDataFrame([(1, t, "u", f"text {t}\nline {t}") for t in range(9)] + [(2, 5, "u", "alone"), (None, 1, "u", "x"), (3, None, "u", None)], "conv_id long, turn long, role string, text string")
+    links = {r.turn: r.reply_to for r in chat.conversations(chat.with_quotes(plain)).filter("conv_id = 1").collect()}
+    assert links == {t: None if t == 0 else t - 2 if t % 3 == 2 else t - 1 for t in range(9)}
+    assert chat.with_quotes(plain).count() == 12
 
 
 def test_pipeline(spark, tmp_path):
