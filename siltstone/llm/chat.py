@@ -23,6 +23,8 @@ the work grows with its lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,16 +122,18 @@ def reply_links(parsed: DataFrame) -> DataFrame:
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, root) of every replying message, by pointer jumping."""
-    at = materialize(links.select("conv_id", "turn", F.col("reply_to").alias("root")), "roots")
+    """(conv_id, turn, root) of every replying message, by pointer jumping; messages whose root is found jump no more."""
+    active = every = links.select("conv_id", "turn", F.col("reply_to").alias("root"))
+    done: list[DataFrame] = []
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"))
-        step = materialize(at.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "roots")
-        release(at)
-        if step.filter("moved").isEmpty():
-            return step.drop("moved")
-        path, at = step._siltstone_path, step.drop("moved")
-        at._siltstone_path = path
+        up = every.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("far"))
+        step = active.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
+        step = materialize(step, "roots")
+        done.append(step.filter("not moved").drop("moved"))
+        active = step.filter("moved").drop("moved")
+        every = reduce(DataFrame.union, [*done, active])
+        if active.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def conversations(messages: DataFrame) -> DataFrame:
