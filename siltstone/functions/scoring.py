@@ -45,3 +45,9 @@ def vote(bullish, neutral, bearish, mixed) -> Column:
 
 def lookup(c, table: dict, default=None) -> Column:
     return cascade([(col(c) == k, v) for k, v in table.items()], default)
+
+
+def editorial(c, rules: list[tuple[str, str | None, str]], default: Column) -> Column:
+    """The wording of the first rule whose pattern, and further pattern if it has one, a text holds."""
+    x = col(c)
+    return cascade([(x.rlike(p) & x.rlike(also) if also else x.rlike(p), words) for p, also, words in rules], default)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from siltstone import rules as R
 from siltstone.functions.match import mentioned
 from siltstone.functions.scoring import additive, pattern_cascade, polarity
+from siltstone.functions.text import any_pattern
 
 _SPLIT = re.compile(r"(?<=[。！？；;.!?])\s*|[\r\n]+")
 _LEAD = re.compile(r"^[，,、：:；;。！？!?.\s]+")
-_NUMBER = re.compile(r"^\d+(?:\.\d+)?%?(?:但|不[過过]|[當当]然)?")
+#: fixed value: a leading number goes, with the word that links it
+_NUMBER = re.compile(r"^\d+(?:\.\d+)?%?(?:但|不過|不过|當然|当然)?")
 _TRAIL = re.compile(r"[，,、：:；;\s]+$")
 BEFORE, AFTER, FOCUS_OVER, WINDOWS = 20, 95, 100, 2
 
@@ -71,9 +73,9 @@ def concrete(entities: Column) -> Column:
 
 
 def strong_signal(quote: Column, entities: Column) -> Column:
-    """No denied content; an assertion and an action, about a concrete entity or a macro subject."""
-    said = quote.rlike(f"(?i){R.ASSERTION}") & quote.rlike(f"(?i){R.ACTION}")
-    return ~quote.rlike(f"(?i){R.DENY}") & said & (concrete(entities) | quote.rlike(f"(?i){R.MACRO}"))
+    """None of three kinds of denied content; an assertion and a specific action, about a concrete entity or a macro subject."""
+    said = quote.rlike(f"(?i){R.ASSERTION}") & quote.rlike(f"(?i){R.SPECIFIC_ACTION}")
+    return ~any_pattern(quote, [f"(?i){p}" for p in (R.HARD_DENY, R.ANECDOTES, R.BANTER)]) & said & (concrete(entities) | quote.rlike(f"(?i){R.MACRO}"))
 
 
 def candidate_score(quote: Column, entities: Column) -> Column:
@@ -96,7 +98,7 @@ def confidence_points(quote: Column, quote_entities: Column, segment_entities: C
         ((F.size(quote_entities) == 0) & (F.size(segment_entities) > 0) & market, 4),
         (F.size(assets) > 0, 5),
         (F.size(topics) > 0, 5),
-        (quote.rlike("(?i)" + "|".join(p for p, _ in R.CLAIM_TYPES)), 8),
+        (quote.rlike(R.ascii_edges("(?i)" + "|".join(p for p, _ in R.CLAIM_TYPES))), 8),
         (market, 5),
         (F.length(quote).between(40, R.MAX_QUOTE), 3),
     ], 55)
@@ -105,7 +107,7 @@ def confidence_points(quote: Column, quote_entities: Column, segment_entities: C
 
 def claim_type(quote: Column, topics: Column) -> Column:
     default = F.when(F.exists(topics, lambda t: t.rlike(f"(?i){R.MACRO}")), "macro").otherwise("fact")
-    return pattern_cascade(quote, [(f"(?i){p}", k) for p, k in R.CLAIM_TYPES], default)
+    return pattern_cascade(quote, [(R.ascii_edges(f"(?i){p}"), k) for p, k in R.CLAIM_TYPES], default)
 
 
 def drop_near_copies(quotes: Column, limit: float = 0.55) -> Column:
@@ -113,7 +115,7 @@ def drop_near_copies(quotes: Column, limit: float = 0.55) -> Column:
     is contained in, or overlaps a kept one goes."""
 
     def step(kept, x):
-        alike = F.exists(kept, lambda k: k.key.contains(x.key) | x.key.contains(k.key) | (F.size(F.array_intersect(k.grams, x.grams)) >= limit * F.size(F.array_union(k.grams, x.grams))))
+        alike = (x.key != "") & F.exists(kept, lambda k: (k.key != "") & (k.key.contains(x.key) | x.key.contains(k.key) | (F.size(F.array_intersect(k.grams, x.grams)) >= limit * F.size(F.array_union(k.grams, x.grams)))))
         return F.when(alike, kept).otherwise(F.concat(kept, F.array(x)))
 
     return F.aggregate(quotes, F.slice(quotes, 1, 0), step)
@@ -148,7 +150,7 @@ def extract_claims(segments: DataFrame, entities: DataFrame) -> DataFrame:
         claim_type(F.col("quote"), F.col("topics")).alias("claimType"),
         F.array_sort(F.array_distinct(F.transform("quoteEntities", lambda x: x.canonicalName))).alias("entities"),
         F.array_sort(F.array_distinct(F.array_compact(F.transform("quoteEntities", lambda x: x.ticker)))).alias("tickers"),
-        polarity("quote", R.BULLISH, R.BEARISH).alias("sentiment"),
+        polarity("quote", f"(?i){R.BULLISH}", f"(?i){R.BEARISH}").alias("sentiment"),
         (points / 100).alias("confidence"),
         F.struct("start", "end", "quote").alias("evidence"),
     )

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import rules as R
-from siltstone.functions.scoring import lookup
-from siltstone.functions.text import clock, compact_text
+from siltstone.functions.scoring import editorial, lookup
+from siltstone.functions.text import clock, compact_text, fold_replacements
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
@@ -21,13 +21,18 @@ def gather(rows: DataFrame, keys: list[str], order: str, item: Column, out: str)
     return lists.select(*keys, F.transform("l", lambda x: x.v).alias(out))
 
 
+def concise(c) -> Column:
+    """Editorial wording of a claim where a rule has one, else the claim in at most 112 characters."""
+    return editorial(c, R.DIGEST_EDITORIAL, compact_text(c, 112))
+
+
 def evidence(claims: DataFrame, k: int = 4) -> DataFrame:
     good = claims.filter((F.col("confidence") >= R.MIN_CONFIDENCE) & F.coalesce(F.nullif("claim", F.lit("")), F.nullif("evidence.quote", F.lit(""))).isNotNull())
     mood = lookup("sentiment", {"bearish": 2, "mixed": 2, "bullish": 1}, 0)
     points = 1000 * (F.coalesce(lookup("claimType", R.EVIDENCE_PRIORITY), F.lit(0)) + mood) + F.round(F.col("confidence") * 10000).cast("long")
     rows = top_k(good.withColumn("points", points), ["rawItemId"], [F.desc("points"), F.desc("confidence"), "id"], k)
     item = F.struct(
-        "id", compact_text(F.coalesce(F.nullif("claim", F.lit("")), F.col("evidence.quote")), 112).alias("claim"), "claimType", "sentiment", F.round("confidence", 2).alias("confidence"),
+        "id", concise(F.coalesce(F.nullif("claim", F.lit("")), F.col("evidence.quote"))).alias("claim"), "claimType", "sentiment", F.round("confidence", 2).alias("confidence"),
         F.slice(F.array_distinct("entities"), 1, 4).alias("entities"), F.slice(F.array_distinct("tickers"), 1, 4).alias("tickers"),
         F.struct("evidence.start", "evidence.end", compact_text("evidence.quote", 88).alias("quote")).alias("evidence"),
     )
@@ -116,12 +121,23 @@ def insight_list(rows: DataFrame) -> DataFrame:
     return i.select("id", "n", "i.title", "i.riskLevel", F.size("i.claimIds").alias("n_claims"))
 
 
-#: display labels
-SENTIMENT_LABELS = {"bullish": "偏多", "bearish": "偏空", "mixed": "混合", "neutral": "中性", "insufficient": "資訊不足"}
-RISK_LABELS = {"high": "高", "medium": "中", "low": "低"}
-QUALITY_LABELS = {"transcript": "逐字稿", "show-notes": "節目說明", "metadata-only": "僅標題"}
-
-
 def labelled(rows: DataFrame, column: str, labels: dict[str, str], out: str) -> DataFrame:
     """A display label by table; unknown values as they are."""
     return rows.withColumn(out, lookup(column, labels, F.col(column)))
+
+
+def display_text(c) -> Column:
+    """Variants that remain in texts, in their display form."""
+    return fold_replacements(c, R.DISPLAY_VARIANTS)
+
+
+def display(rows: DataFrame) -> DataFrame:
+    """Labels and tones of claims, insights and summaries for those of the columns claimType, sentiment, riskLevel and sourceTextQuality that are there."""
+    tables = [
+        ("claimType", R.CLAIM_TYPE_LABELS, "claimTypeLabel"), ("sentiment", R.SENTIMENT_LABELS, "sentimentLabel"), ("sentiment", R.SENTIMENT_TONES, "sentimentTone"),
+        ("riskLevel", R.RISK_LABELS, "riskLevelLabel"), ("riskLevel", R.RISK_TONES, "riskTone"), ("sourceTextQuality", R.QUALITY_LABELS, "sourceTextQualityLabel"),
+    ]
+    for column, labels, out in tables:
+        if column in rows.columns:
+            rows = labelled(rows, column, labels, out)
+    return rows

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from siltstone import rules as R
 from siltstone.functions.text import any_pattern, without_lines
 
+#: fixed value: what bullets are compared without
+BULLET_MARKS = r"(?U)[\s，。！？；：、,.!?;:「」『』()（）【】]"
 FAILURE = "array<struct<check: string, detail: string>>"
 
 
@@ -77,10 +79,11 @@ def check_summaries(summaries: DataFrame, gate: dict | None = None) -> DataFrame
     rows = summaries.withColumn("points", points).withColumn("text", without_lines(F.concat_ws("\n", "excerpt", F.array_join(points, "\n"), body), g["allowed_line"]))
     bullets = F.size(F.filter(F.split(body, "\n"), lambda x: x.startswith("- ")))
     tldr = F.regexp_extract(body, rf"(?m)^{g['body_start']}(.+)$", 1)
-    plain = lambda x: F.lower(F.regexp_replace(x, r"(?U)[\s\p{Punct}，。！？；：、「」『』（）【】]", ""))
+    plain = lambda x: F.lower(F.regexp_replace(x, BULLET_MARKS, ""))
     bullet_keys = F.transform(F.col("points"), plain)
-    simple = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({g['simplified']})"), F.lit(1))))
+    simple = F.size(F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for p in g["simplified"]])))
     filler = F.size(F.filter("points", lambda p: any_pattern(p, g["fillers"])))
+    spoken = [R.ascii_edges(p) for p in g["transcript_like"]]
     rules = [
         failure(F.size("points") < g["min_points"], "structure", F.size("points")),
         failure(~body.startswith(g["body_start"]), "structure", "body-start"),
@@ -93,7 +96,7 @@ def check_summaries(summaries: DataFrame, gate: dict | None = None) -> DataFrame
         failure(F.size(bullet_keys) != F.size(F.array_distinct(bullet_keys)), "duplicate-bullets", ""),
         failure(filler > g["max_filler"], "filler-bullets", filler),
         failure(F.exists("points", lambda p: F.length(p) > g["max_point_chars"]), "transcript-like-keypoint", "length"),
-        failure(F.exists("points", lambda p: any_pattern(p, g["transcript_like"])), "transcript-like-keypoint", "pattern"),
+        failure(F.exists("points", lambda p: any_pattern(p, spoken)), "transcript-like-keypoint", "pattern"),
         failure(F.exists("points", lambda p: ~F.trim(p).rlike(f"[{g['ends']}]$")), "structure", "point-end"),
     ]
     return collect_failures(rows, "summaries", "id", rules)

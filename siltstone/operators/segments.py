@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.match import any_term, matched_topics
 from siltstone.operators.transcripts import monotonic_times
 from siltstone.rules import MAX_CHUNK, MIN_CHUNK, TARGET_CHUNK
 
-_SENTENCE = re.compile(r"[^。！？!?；;\n]*[。！？!?；;\n]+|[^。！？!?；;\n]+")
+_SENTENCE_END = re.compile(r"(?<=[。！？!?；;])\s*")
 
 
 def slices(text: str, size: int) -> list[str]:
@@ -20,18 +22,16 @@ def slices(text: str, size: int) -> list[str]:
 
 
 def pack_sentences(text: str, least: int = MIN_CHUNK, target: int = TARGET_CHUNK, most: int = MAX_CHUNK) -> list[str]:
-    """An over-long text in parts: sentences are added until the target, or until the next would go
-    over the limit; a sentence over the limit is sliced at the target; a small tail joins its neighbour."""
+    """A text in parts: sentences, those over the limit sliced at the target, are added until the target, or until the
+    next would take a part that is long enough over the limit; a small tail joins its neighbour."""
+    sentences = filter(None, (s.strip() for s in _SENTENCE_END.split(" ".join(text.split()))))
+    pieces = [p for s in sentences for p in (slices(s, target) if len(s) > most else [s])]
     out, now = [], ""
-    for sentence in filter(None, (s.strip() for s in _SENTENCE.findall(text))):
-        if len(sentence) > most:
-            out += [now] * bool(now) + slices(sentence, target)
-            now = ""
-            continue
-        if now and len(now) >= least and len(now) + len(sentence) > most:
+    for piece in pieces:
+        if len(now) >= least and len(now) + len(piece) > most:
             out.append(now)
             now = ""
-        now += sentence
+        now += piece
         if len(now) >= target:
             out.append(now)
             now = ""
@@ -57,19 +57,29 @@ def pack(lengths: list[int], target: int = TARGET_CHUNK, most: int = MAX_CHUNK)
 
 
 def pack_rows(rows: DataFrame, keys: list[str], order: str, size: str, target: int = TARGET_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """Adds ``pack`` by the greedy rule within each group: one array fold per group, no Python."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))))
-    grouped = rows.groupBy(*keys).agg(items.alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("number"), F.array().cast("array<int>").alias("packs"))
-
-    def step(a, x):
-        new = (a.held > 0) & ((a.held + x.n > most) | (a.held >= target))
-        number = a.number + new.cast("int")
-        return F.struct(F.when(new, x.n).otherwise(a.held + x.n).alias("held"), number.alias("number"), F.concat(a.packs, F.array(number)).alias("packs"))
-
-    packed = grouped.select(*keys, F.explode(F.arrays_zip(F.col("items"), F.aggregate("items", zero, step, lambda a: a.packs).alias("packs"))).alias("z"))
-    packed = packed.select(*keys, F.col("z.items.o").alias(order), F.col("z.packs").alias("pack"))
-    return rows.join(packed, [*keys, order])
+    """Adds ``pack`` by the greedy rule within each group, in order (equal ones by their content).
+
+    The rule reads a group in sequence; a group's rows come sorted and in batches, so a group may be larger than memory.
+    """
+    named = [c for c in rows.columns if c not in (*keys, order, size)]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order, F.xxhash64(size, *named))
+    schema = T.StructType([*rows.schema.fields, T.StructField("pack", T.IntegerType())])
+
+    def run(batches):
+        group, number, held = None, 0, 0
+        for batch in batches:
+            packs = []
+            for *key, n in zip(*(batch.column(k).to_pylist() for k in (*keys, size))):
+                n = n or 0
+                if key != group:
+                    group, number, held = key, 0, 0
+                elif held and (held + n > most or held >= target):
+                    number, held = number + 1, 0
+                packs.append(number)
+                held += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packs, pa.int32())], [*batch.schema.names, "pack"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def segment_drafts(transcripts: DataFrame) -> DataFrame:

@@ -83,6 +83,28 @@ def normalize_terms(rows: DataFrame, entries: list[dict], column: str = "text")
     return rows.withColumn("normalized", run(column))
 
 
+def normalize_transcripts(transcripts: DataFrame, entries: list[dict]) -> DataFrame:
+    """Transcripts with normalised text and segments, and ``corrections`` of the text (of its segments where it is blank)."""
+    glossary = Glossary(entries)
+
+    @F.pandas_udf("array<string>")
+    def swapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [glossary.apply(t)[0] for t in x])
+
+    spoken = F.transform("segments", lambda s: s["text"])
+    source = F.when(F.trim("text") != "", F.col("text")).otherwise(F.array_join(spoken, "\n"))
+    rows = normalize_terms(transcripts.withColumn("source_text", source), entries, "source_text").withColumn("corrections", F.col("normalized.corrections"))
+    rows = normalize_terms(rows, entries).withColumn("text", F.col("normalized.text")).withColumn("parts", swapped(spoken))
+    renamed = F.transform("segments", lambda s, n: s.withField("text", F.get(F.col("parts"), n)))
+    return rows.withColumn("segments", renamed).drop("normalized", "source_text", "parts")
+
+
+def total_corrections(rows: DataFrame) -> int:
+    """Corrections in all transcripts together."""
+    per_row = F.aggregate("corrections", F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    return rows.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("n")).head().n
+
+
 def correction_counts(rows: DataFrame, corrections: str) -> DataFrame:
     """Counts by (from, to, reason) over all rows."""
     c = rows.select(F.explode(corrections).alias("c")).select("c.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.match import matched_topics
 from siltstone.functions.scoring import cascade
-from siltstone.functions.text import cleanup_unit, ensure_sentence, split_units
+from siltstone.functions.text import any_pattern, cleanup_unit, ensure_sentence, split_units
 
 
 def unit_points(unit: Column, whole: Column, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None) -> Column:
@@ -21,12 +21,14 @@ def unit_points(unit: Column, whole: Column, keywords: list[str], topics: dict[s
 
 
 def representative_units(
-    rows: DataFrame, key: str, text: str, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None, cues: list[str] = (), top: int = 4, least: int = 18, most: int = 180
+    rows: DataFrame, key: str, text: str, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None, cues: list[str] = (), top: int = 4, least: int = 18, most: int = 180, not_in: list[str] = ()
 ) -> DataFrame:
     """(key, rank, unit): the best units of a fair length; later ones lose a hundredth a position, and of
-    units that begin alike the best stays."""
+    units that begin alike the best stays. Units that match a pattern of ``not_in`` (promotions) are left out."""
     units = rows.select(key, F.col(text).alias("whole"), F.posexplode(F.transform(split_units(text, cues), cleanup_unit)).alias("n", "unit"))
     units = units.filter(F.length("unit").between(least, most))
+    if not_in:
+        units = units.filter(~any_pattern("unit", list(not_in)))
     units = units.withColumn("points", unit_points(F.col("unit"), F.col("whole"), keywords, topics, banter) - F.col("n"))
     first = Window.partitionBy(key, F.substring("unit", 1, 28)).orderBy(F.desc("points"), "n")
     units = units.withColumn("r", F.row_number().over(first)).filter("r = 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone import rules as R
 from siltstone.operators import claims, digest, entities, insights, quality, segments, summaries
+from siltstone.operators import transcripts as terms
 from siltstone.streaming.incremental import next_items, not_done
 
 
@@ -62,6 +63,8 @@ def run(spark: SparkSession, raw: DataFrame, transcripts: DataFrame, sources: Da
     if done is not None:
         raw = next_items(not_done(raw, done, "id", config.force), config.limit)
     transcripts = transcripts.join(raw.select("id"), "id", "left_semi")
+    transcripts = work.stage("normalized", terms.normalize_transcripts(transcripts, R.GLOSSARY))
+    work.metrics["corrections"] = terms.total_corrections(transcripts)
     seg = work.stage("segments", segments.topic_segments(transcripts, raw, R.SEGMENT_TOPICS, [g["name"] for g in R.GLOSSARY if g["kind"] == "asset"], R.MAJOR_TERMS))
     ent = work.stage("entities", entities.roll_up(entities.segment_mentions(seg, R.entity_rules(), R.TICKER_ALLOW, R.TICKER_DENY)))
     cl = work.stage("claims", claims.extract_claims(seg, ent))

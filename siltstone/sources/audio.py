@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import optional_number
+from siltstone.operators import chunkplan
 from siltstone.schemas import PROBE
 
 
@@ -32,43 +34,47 @@ def probe_metadata(rows: DataFrame, column: str = "probe") -> DataFrame:
 
 @dataclass(frozen=True)
 class AudioConfig:
+    """Settings of a run; the defaults are fixed values."""
+
     sample_rate: int = 16000
     channels: int = 1
     bitrate: str = "32k"
-    segment_seconds: int = 900
+    segment_seconds: float = 900.0
     max_chunk: float = 900.0
-    min_chunk: float = 300.0
+    min_chunk: float = 60.0
     tolerance: float = 30.0
     silence_db: str = "-35dB"
-    silence_seconds: float = 0.5
+    silence_seconds: float = 0.6
     vad: bool = False
 
     @classmethod
-    def from_env(cls, env: dict[str, str], prefixes: tuple[str, ...] = ("AUDIO_", "TRANSCRIPTION_")) -> AudioConfig:
-        """Named settings, blank ones falling through to the next prefix; the minimum is capped by the maximum."""
+    def from_env(cls, env: dict[str, str]) -> AudioConfig:
+        """By environment variables, fixed values too; a blank one counts as missing. The minimum is capped by the maximum."""
 
-        def first(name):
-            return next((v.strip() for p in prefixes if (v := env.get(p + name, "")).strip()), None)
+        def first(*names):
+            return next((v.strip() for n in names if (v := env.get(n) or "").strip()), None)
 
-        def number(name, default, zero=False):
+        def number(default, *names, zero=False):
             try:
-                x = float(first(name) or "nan")
+                x = float(first(*names) or "nan")
             except ValueError:
                 return default
             return x if (x >= 0 if zero else x > 0) and x != float("inf") else default
 
-        longest = number("MAX_CHUNK_SECONDS", number("SEGMENT_SECONDS", cls.max_chunk))
-        db = first("SILENCE_DB") or cls.silence_db
+        segment = number(cls.segment_seconds, "AUDIO_SEGMENT_SECONDS", "WHISPER_SEGMENT_SECONDS")
+        longest = number(segment, "AUDIO_MAX_CHUNK_SECONDS", "WHISPER_MAX_CHUNK_SECONDS")
+        db = first("AUDIO_VAD_SILENCE_THRESHOLD_DB") or cls.silence_db
         return cls(
-            sample_rate=int(number("SAMPLE_RATE", cls.sample_rate)),
-            bitrate=first("BITRATE") or cls.bitrate,
-            segment_seconds=int(number("SEGMENT_SECONDS", cls.segment_seconds)),
+            sample_rate=int(number(cls.sample_rate, "AUDIO_TARGET_SAMPLE_RATE")),
+            channels=int(number(cls.channels, "AUDIO_TARGET_CHANNELS")),
+            bitrate=first("AUDIO_TARGET_BITRATE", "WHISPER_AUDIO_BITRATE") or cls.bitrate,
+            segment_seconds=segment,
             max_chunk=longest,
-            min_chunk=min(number("MIN_CHUNK_SECONDS", cls.min_chunk), longest),
-            tolerance=number("TOLERANCE_SECONDS", cls.tolerance, zero=True),
+            min_chunk=min(number(cls.min_chunk, "AUDIO_MIN_CHUNK_SECONDS"), longest),
+            tolerance=number(cls.tolerance, "AUDIO_CHUNK_BOUNDARY_TOLERANCE_SECONDS", zero=True),
             silence_db=db if db.lower().endswith("db") else db + "dB",
-            silence_seconds=number("SILENCE_SECONDS", cls.silence_seconds),
-            vad=(first("VAD") or "").lower() in ("1", "true", "yes", "on"),
+            silence_seconds=number(cls.silence_seconds, "AUDIO_VAD_MIN_SILENCE_SECONDS"),
+            vad=(first("ENABLE_AUDIO_VAD", "AUDIO_VAD_ENABLED") or "").lower() in ("1", "true", "yes", "on"),
         )
 
 
@@ -88,6 +94,39 @@ def silence_arguments(source: str, c: AudioConfig) -> list[str]:
     return ["-i", source, "-af", f"silencedetect=noise={c.silence_db}:d={c.silence_seconds:g}", "-f", "null", "-"]
 
 
+_EVENT = re.compile(r"silence_(start|end):\s*([0-9.]+)")
+
+
+def logged_middles(log: str, duration: float | None) -> list[float]:
+    """Middles of the silences in a detector's log, see :func:`chunkplan.midpoints`."""
+    found, start = set(), None
+    for line in log.split("\n"):
+        if m := _EVENT.search(line):
+            try:
+                at = float(m[2])
+            except ValueError:
+                at = float("nan")
+            if m[1] == "end" and start is not None and at > start and duration and chunkplan.EPS < (start + at) / 2 < duration - chunkplan.EPS:
+                found.add(chunkplan.rounded((start + at) / 2))
+            start = at if m[1] == "start" else None
+    return sorted(found)
+
+
+def chunk_plan(detect: Callable[[list[str]], str], source: str, duration: float | None, c: AudioConfig) -> dict:
+    """The plan of a recording; ``detect`` runs the silence detector and returns its log.
+
+    Without voice activity detection, and where the detector fails, it has no chunks and the recording is cut at fixed lengths.
+    """
+    none = {"strategy": "fixed", "chunks": [], "silence_count": 0, "warnings": []}
+    if not c.vad:
+        return none
+    try:
+        log = detect(silence_arguments(source, c))
+    except Exception as error:  # noqa: BLE001
+        return none | {"warnings": [f"silence-aware chunking fell back to fixed chunks: silencedetect failed: {error}"]}
+    return chunkplan.plan(duration, logged_middles(log, duration), c.max_chunk, c.min_chunk, c.tolerance)
+
+
 def preprocess(plan: dict, run: Callable[[list[str]], list[str]], source: str, target: str, c: AudioConfig) -> dict:
     """Cut by the plan; where that fails, warn, drop the chunk times and cut at fixed lengths."""
     warnings = list(plan.get("warnings", []))

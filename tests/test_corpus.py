@@ -89,6 +89,54 @@ def test_fallback_summary(spark):
     assert s.sourceTextQuality == "metadata-only" and s.sentiment == "insufficient" and s.sourceName == "s"
 
 
+def test_grounded_summary_wording(spark):
+    raw = spark.createDataFrame([("test-item", "s", "x", "podcast", "市場測試", "只有 metadata 的 fallback 內容", "2026-06-04T00:00:00.000Z", "u", None, None, "f")], schemas.RAW_ITEM)
+    raw = raw.withColumn("transcript", F.lit(None).cast("string"))
+    said = [
+        ("c1", "这波行情走得并不平均，资金集中在台韩市场，美元计价表现明显领先美股大盘。", "macro", ["entity-currency-美元-usd"], ["USD"], "mixed", 0.91),
+        ("c2", "这四个议题没那么容易谈拢，布兰特原油价格上涨反映市场仍在评价地缘风险。", "risk", ["entity-commodity-原油"], [], "mixed", 0.9),
+    ]
+    cl = spark.createDataFrame([(i, "test-item", None, c, k, e, t, s, p, (None, None, "q")) for i, c, k, e, t, s, p in said], "id string, rawItemId string, segmentId string, claim string, claimType string, entities array<string>, tickers array<string>, sentiment string, confidence double, evidence struct<start: double, end: double, quote: string>")
+    ent = spark.createDataFrame([("test-item", "entity-currency-美元-usd", "美元", [], "currency", "USD", None, []), ("test-item", "entity-commodity-原油", "原油", [], "commodity", None, None, [])], "rawItemId string, id string, canonicalName string, aliases array<string>, type string, ticker string, exchange string, evidenceSegmentIds array<string>")
+    src = spark.createDataFrame([], "id string, name string, slug string")
+    s = summaries.grounded_summaries(raw, cl, ent, src, F.lit("now")).head()
+    assert s.id == "test-item" and "通過門檻的主張" in s.body and 2 <= len(s.keyPoints) <= 5 and all(p[-1] in "。！？…" for p in s.keyPoints)
+    assert "資金表現集中" in " ".join(s.keyPoints) and "这波行情" not in " ".join(s.keyPoints)
+    assert sorted(s.mentionedAssets) == ["USD", "原油"] and any("原油" in r for r in s.risks) and s.risks[-1] == R.REMINDER
+    rest = summaries.grounded_summaries(raw, cl.limit(0), ent.limit(0), src, F.lit("now")).head()
+    assert rest.sourceTextQuality == "metadata-only" and "通過門檻的主張" not in rest.body and len(rest.keyPoints) == 3
+    plain = summaries.metadata_summaries(raw.withColumn("transcript", F.lit("融資額度提高，市場今天上漲，半導體族群領軍。台股資金輪動熱絡，ETF 規模持續放大。關稅談判影響市場風險情緒與估值。")), src, F.lit("now")).head()
+    assert plain.sourceTextQuality == "transcript" and 3 <= len(plain.keyPoints) <= 4 and plain.keyPoints[0].endswith("延續。") and "Whisper 逐字稿" in plain.body
+    assert quality.check_summaries(summaries.grounded_summaries(raw, cl.limit(0), ent.limit(0), src, F.lit("now"))).filter("check <> 'simplified-chinese-drift'").collect() == []
+
+
+@pytest.mark.parametrize("table, hits", [("sponsors", ["https://x", "NordVPN", "本集節目由甲合作", "贊助商", "限時優惠", "歡迎來信", "維他命"]), ("fillers", ["目前可用內容有限", "資訊不足", "建議搭配原始節目確認完整脈絡"]), ("simplified", ["欢", "台积电"]), ("transcript_like", ["在12:30說", "嗯，就是說"])])
+def test_gate_patterns(spark, table, hits):
+    assert len(R.GATE[table]) == len(hits)
+    for p, h in zip(R.GATE[table], hits):
+        assert spark.createDataFrame([(h,)], "h string").filter(F.col("h").rlike(R.ascii_edges(p))).count() == 1
+
+
+def test_display(spark):
+    rows = spark.createDataFrame([("risk", "mixed", "high", "show-notes", "谈拢涨")], "claimType string, sentiment string, riskLevel string, sourceTextQuality string, t string")
+    r = digest.display(rows).withColumn("t", digest.display_text("t")).head()
+    assert (r.claimTypeLabel, r.sentimentLabel, r.sentimentTone, r.riskLevelLabel, r.riskTone, r.sourceTextQualityLabel, r.t) == ("風險", "混合", "amber", "高", "amber", "Show notes 摘要", "談攏漲")
+
+
+def test_run_of_all_stages(spark, tmp_path):
+    from siltstone.plans import corpus_run
+
+    pieces = [(f"p{n}", n * 60.0, n * 60.0 + 50, "host", t * 12, None, None) for n, t in enumerate(SAID)]
+    raw = spark.createDataFrame([("ep-1", "show", "x", "podcast", "第一集 市場觀察", "說明", "2024-01-02T00:00:00.000Z", "http://e/1", None, None, "2024-01-02T01:00:00.000Z")], schemas.RAW_ITEM)
+    t = spark.createDataFrame([("ep-1", "ep-1", "show", "p", "m", "zh", "2024", "u", pieces, "".join(SAID), [])], schemas.RAW_TRANSCRIPT)
+    src = spark.createDataFrame([("show", "Show", "the-show")], "id string, name string, slug string")
+    out = corpus_run.run(spark, raw, t, src, str(tmp_path), corpus_run.RunConfig())
+    assert out["digest"].count() == 1 and out["metrics"]["claims"] >= 1 and out["failures"].filter("check in ('quote-not-in-segment', 'duplicate-key')").count() == 0
+    assert out["metrics"]["corrections"] >= 0
+    again = corpus_run.run(spark, raw, t, src, str(tmp_path), corpus_run.RunConfig(), done=raw.select("id"))
+    assert again["digest"].count() == 0
+
+
 def test_near_copies_keep_first(spark):
     rows = spark.createDataFrame([([(0, "abcdefghij"), (1, "abcdefgh"), (2, "zzzzzzzz"), (3, "xabcdefghijx")],)], "q array<struct<index: int, key: string>>")
     from siltstone.functions.text import shingles
@@ -120,8 +168,15 @@ def test_audio(spark):
     df = spark.createDataFrame([('{"format":{"duration":"12.5"},"streams":[{"codec_type":"audio","codec_name":"mp3","sample_rate":"44100","channels":2}]}',), ("no json",)], "probe string")
     a, b = [r.metadata for r in audio.probe_metadata(df).collect()]
     assert (a.durationSeconds, a.codec, a.sampleRate, a.warnings) == (12.5, "mp3", 44100, []) and b.durationSeconds is None and b.warnings
-    c = audio.AudioConfig.from_env({"AUDIO_MAX_CHUNK_SECONDS": " ", "TRANSCRIPTION_MAX_CHUNK_SECONDS": "123", "AUDIO_MIN_CHUNK_SECONDS": "500", "AUDIO_SILENCE_DB": "-40"})
-    assert (c.max_chunk, c.min_chunk, c.silence_db) == (123, 123, "-40dB")
+    c = audio.AudioConfig.from_env({"ENABLE_AUDIO_VAD": "", "AUDIO_VAD_ENABLED": "true", "AUDIO_MAX_CHUNK_SECONDS": " ", "WHISPER_MAX_CHUNK_SECONDS": "123", "AUDIO_MIN_CHUNK_SECONDS": "999", "AUDIO_VAD_SILENCE_THRESHOLD_DB": "-40"})
+    assert (c.vad, c.max_chunk, c.min_chunk, c.silence_db) == (True, 123, 123, "-40dB")
+    plain = audio.AudioConfig.from_env({})
+    assert (plain.min_chunk, plain.silence_seconds, plain.max_chunk, plain.vad) == (60, 0.6, 900, False)
+    log = "silence_start: 89.5\nsilence_end: 91.5 | silence_duration: 2\nsilence_end: 95\nsilence_start: 181\nsilence_end: 183\n"
+    on = audio.AudioConfig(vad=True, max_chunk=90, min_chunk=30, tolerance=5)
+    assert [x["end"] for x in audio.chunk_plan(lambda args: log, "u", 250, on)["chunks"]] == [90.5, 182, 250]
+    assert audio.chunk_plan(lambda args: log, "u", 250, plain) == {"strategy": "fixed", "chunks": [], "silence_count": 0, "warnings": []}
+    assert "failed: gone" in audio.chunk_plan(lambda args: (_ for _ in ()).throw(OSError("gone")), "u", 250, on)["warnings"][0]
     assert "90.5,182" in audio.cut_arguments("i", "o", [90.5, 182], c)
     waits, answers = [], iter([(500, {}), (200, {"text": "hi"})])
     p = audio.HttpProvider(lambda f, o: next(answers), sleep=waits.append)

@@ -20,6 +20,13 @@ def test_silence_plan():
     sparse = chunkplan.plan(250, [11], 90, 30, 5)
     assert sparse["strategy"] == "fixed" and sparse["warnings"] and [(c["start"], c["end"]) for c in sparse["chunks"]] == [(0, 90), (90, 180), (180, 250)]
     assert chunkplan.plan(None, [], 90, 30, 5)["chunks"] == []
+    mixed = chunkplan.plan(250, [90.5], 90, 30, 5)  # a target without a silence is cut as it is
+    assert [(c["end"], c["boundary"]) for c in mixed["chunks"]] == [(90.5, "silence"), (180.5, "fixed"), (250, "duration")]
+    assert (mixed["strategy"], mixed["silence_count"]) == ("silence-aware", 1) and got["silence_count"] == 2
+    assert chunkplan.plan(130, [30.0], 60, 30, 40)["chunks"][0]["boundary"] == "fixed"  # the least length is exclusive
+    short = chunkplan.plan(50, [20.0], 90, 30, 5)
+    assert (short["strategy"], [c["end"] for c in short["chunks"]], short["warnings"]) == ("fixed", [50], [])
+    assert [(c["end"], c["boundary"]) for c in chunkplan.fixed_plan(185, 60)] == [(60, "fixed"), (120, "fixed"), (180, "fixed"), (185, "duration")]
 
 
 def test_fixed_plan(spark):
@@ -63,10 +70,17 @@ def test_pack_matches_python_rule(spark):
 def test_pack_sentences():
     text = "甲" * 480 + "。" + "乙" * 400 + "。" + "丙" * 1300 + "。" + "丁" * 50
     parts = segments.pack_sentences(text)
-    assert "".join(p.replace(" ", "") for p in parts) == text and all(len(p) <= 1200 for p in parts)
+    assert "".join(p.replace(" ", "") for p in parts) == text
+    assert [len(p) for p in segments.pack_sentences("甲" * 480 + "乙" * 0 + "。" + "丙" * 1299 + "。")] == [1331, 450]
     assert segments.split_time(0, 10, 1, 2) == (5, 10) and segments.split_time(3, 3, 1, 2) == (3.001, 3.002)
 
 
+def test_pack_rows_keeps_repeated_rows(spark):
+    rows = [("a", 1, 900, "x"), ("a", 1, 900, "x"), ("a", 2, 10, None), (None, 1, 5, "y"), ("b", None, None, "z")]
+    got = segments.pack_rows(spark.createDataFrame(rows, "k string, n int, size int, t string"), ["k"], "n", "size").collect()
+    assert len(got) == 5 and sorted(r.pack for r in got if r.k == "a") == [0, 1, 2] and {r.pack for r in got if r.k != "a"} == {0}
+
+
 def test_nearest(spark):
     t = spark.createDataFrame([(1, 10.0), (1, 20.0), (1, 99.0)], "k int, t double")
     p = spark.createDataFrame([(1, 9.0), (1, 11.0), (1, 22.0), (2, 99.0)], "k int, p double")
