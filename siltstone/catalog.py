@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from siltstone.plans import relational_queries, text_queries, time_queries  # noqa: E402, F401  they register themselves
+from siltstone.plans import operator_queries, relational_queries, text_queries, time_queries  # noqa: E402, F401  they register themselves

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import col
+from siltstone.functions.text import bind, col
 
 MODES = ("boundary", "substring_ci", "letters", "substring")
 
@@ -30,7 +30,7 @@ def pattern(term: str, mode: str) -> str:
 
 def matches(c, term: str, mode: str) -> Column:
     x = col(c)
-    if mode == "substring":
+    if mode == "substring" or (mode == "boundary" and not term.isascii()):
         return x.contains(term)
     if mode == "substring_ci":
         return F.lower(x).contains(term.lower())
@@ -58,19 +58,19 @@ def dictionary_join(rows: DataFrame, text: str, rules: list[dict], mode: str = "
     """A row for each rule of which an alias is found: rows' columns, rule fields and ``matched`` aliases.
 
     Rules are a fixed table, so this is one projection and an explode; a rule has ``name``, ``aliases`` and
-    further string fields.
+    further string fields. By boundary, terms of ASCII letters and digits are looked up among the text's runs of
+    such characters, which are found in one scan.
     """
     fields = sorted({k for r in rules for k in r} - {"aliases"})
-    found = [
-        F.struct(
-            *[F.lit(r.get(k)).cast("string").alias(k) for k in fields],
-            F.lit(n).alias("rule"),
-            matched_terms(text, [r["name"], *r["aliases"]], mode).alias("matched"),
-        )
-        for n, r in enumerate(rules)
-    ]
-    hits = F.filter(F.array(*found), lambda x: F.size(x.matched) > 0)
-    return rows.withColumn("hit", F.explode(hits)).select(*rows.columns, "hit.*")
+    words = sorted({t for r in rules for t in (r["name"], *r["aliases"]) if mode == "boundary" and re.fullmatch("[A-Za-z0-9]+", t)})
+
+    def hits(seen):
+        terms = lambda r: F.array_compact(F.array(*[F.when(F.array_contains(seen, t) if t in words else matches(text, t, mode), F.lit(t)) for t in (r["name"], *r["aliases"])]))
+        found = [F.struct(*[F.lit(r.get(k)).cast("string").alias(k) for k in fields], F.lit(n).alias("rule"), terms(r).alias("matched")) for n, r in enumerate(rules)]
+        return F.filter(F.array(*found), lambda x: F.size(x.matched) > 0)
+
+    runs = F.array_intersect(F.array(*map(F.lit, words)), F.regexp_extract_all(col(text), F.lit("[A-Za-z0-9]+"), F.lit(0))) if words else F.array().cast("array<string>")
+    return rows.withColumn("hit", F.explode(bind(F.coalesce(runs, F.array().cast("array<string>")), hits))).select(*rows.columns, "hit.*")
 
 
 def upper_tokens(c, allow: list[str], deny: list[str] = (), least: int = 2, most: int = 5) -> Column:

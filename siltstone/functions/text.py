@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -147,15 +148,17 @@ def fold_replacements(c, pairs: list[tuple[str, str]]) -> Column:
     return x
 
 
-#: fixed values: the named character references that are decoded
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+@F.pandas_udf(StringType())
+def decode_references(text: pd.Series) -> pd.Series:
+    """Numeric and named character references as the characters they stand for."""
+    return text.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
 
 
 def clean_html(c) -> Column:
     """Text of HTML: scripts, styles and tags go, references are decoded, white space collapses."""
     x = F.regexp_replace(col(c), r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     x = F.regexp_replace(x, "(?s)<!--.*?-->", " ")
-    return compact_whitespace(fold_replacements(F.regexp_replace(x, "<[^>]*>", " "), ENTITIES))
+    return compact_whitespace(decode_references(F.regexp_replace(x, "<[^>]*>", " ")))
 
 
 def normalize_bullet(c) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone import rules as R
 from siltstone.functions.match import mentioned
 from siltstone.functions.scoring import additive, pattern_cascade, polarity
-from siltstone.functions.text import any_pattern
+from siltstone.functions.text import any_pattern, quote_key, shingles
 
 _SPLIT = re.compile(r"(?<=[。！？；;.!?])\s*|[\r\n]+")
 _LEAD = re.compile(r"^[，,、：:；;。！？!?.\s]+")
@@ -110,6 +110,28 @@ def claim_type(quote: Column, topics: Column) -> Column:
     return pattern_cascade(quote, [(R.ascii_edges(f"(?i){p}"), k) for p, k in R.CLAIM_TYPES], default)
 
 
+def near_copies(rows: DataFrame, keys: list[str], order: str, text: str, limit: float = 0.55, size: int = 6) -> DataFrame:
+    """(keys, a, b): pairs of a group's texts, a before b, that contain each other or whose n-grams overlap by ``limit``.
+
+    Texts meet on rare n-grams only: two that overlap enough share one among the rarest of either (a prefix
+    as long as the limit asks for), and one that is contained shares its rarest with the other.
+    """
+    rows = rows.select(*keys, F.col(order).alias("o"), F.col(text).alias("t")).withColumn("g", shingles("t", size))
+    grams = rows.select(*keys, "o", F.length("t").alias("len"), F.size("g").alias("s"), F.explode("g").alias("gram"))
+    grams = grams.withColumn("f", F.count("*").over(Window.partitionBy(*keys, "gram")))
+    grams = grams.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "o").orderBy("f", "gram"))).filter("f > 1")
+    prefix = grams.filter(F.col("r") <= F.col("s") - F.ceil(F.col("s") * limit) + 1)
+    other = lambda t: t.select(*keys, "gram", F.col("o").alias("p"), F.col("len").alias("plen"), F.col("s").alias("ps"))
+    alike = prefix.join(other(prefix), [*keys, "gram"]).filter((F.col("o") < F.col("p")) & (F.least("s", "ps") >= limit * F.greatest("s", "ps")))
+    within = grams.filter("r = 1").join(other(grams), [*keys, "gram"]).filter((F.col("o") != F.col("p")) & (F.col("len") <= F.col("plen")))
+    pairs = alike.select(*keys, F.col("o").alias("a"), F.col("p").alias("b")).union(within.select(*keys, F.least("o", "p"), F.greatest("o", "p"))).distinct()
+    side = lambda n: rows.select(*keys, F.col("o").alias(n), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"))
+    pairs = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    both = F.size(F.array_intersect("ga", "gb"))
+    same = F.col("ta").contains(F.col("tb")) | F.col("tb").contains(F.col("ta")) | (both >= F.lit(limit) * (F.size("ga") + F.size("gb") - both))
+    return pairs.filter(same).select(*keys, "a", "b")
+
+
 def drop_near_copies(quotes: Column, limit: float = 0.55) -> Column:
     """Keep-first over an ordered array of structs with ``key`` and ``grams``: a later one that contains,
     is contained in, or overlaps a kept one goes."""
@@ -123,8 +145,6 @@ def drop_near_copies(quotes: Column, limit: float = 0.55) -> Column:
 
 def extract_claims(segments: DataFrame, entities: DataFrame) -> DataFrame:
     """Claims of topic segments (id, rawItemId, text, topics, mentionedAssets, start, end, position)."""
-    from siltstone.functions.text import quote_key, shingles
-
     e = entities.select("rawItemId", F.explode("evidenceSegmentIds").alias("segmentId"), F.struct("canonicalName", "ticker", "type", "aliases").alias("e"))
     e = e.groupBy("rawItemId", "segmentId").agg(F.sort_array(F.collect_list("e")).alias("segmentEntities"))
     rows = segments.withColumnRenamed("id", "segmentId").join(e, ["rawItemId", "segmentId"], "left")

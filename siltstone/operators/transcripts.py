@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.scoring import lookup
 from siltstone.functions.text import col
 from siltstone.schemas import SEGMENT
 
@@ -99,6 +100,21 @@ def normalize_transcripts(transcripts: DataFrame, entries: list[dict]) -> DataFr
     return rows.withColumn("segments", renamed).drop("normalized", "source_text", "parts")
 
 
+def aliases_found(c, entries: list[dict]) -> Column:
+    """The aliases that :func:`normalize_terms` would replace, each as often as it occurs; one scan, no Python."""
+    glossary = Glossary(entries)
+    swapped = [a for a in glossary.to if a not in glossary.kind]
+    return F.filter(F.regexp_extract_all(col(c), F.lit(glossary.pattern.pattern), F.lit(0)), lambda x: x.isin(swapped))
+
+
+def count_aliases(rows: DataFrame, entries: list[dict], column: str = "text") -> DataFrame:
+    """(from, to, reason, count) over all rows, like :func:`correction_counts` but without normalising them."""
+    glossary = Glossary(entries)
+    counts = rows.select(F.explode(aliases_found(column, entries)).alias("from")).groupBy("from").agg(F.count("*").alias("count"))
+    to = lookup("from", glossary.to)
+    return counts.select("from", to.alias("to"), lookup(to, glossary.kind).alias("reason"), "count")
+
+
 def total_corrections(rows: DataFrame) -> int:
     """Corrections in all transcripts together."""
     per_row = F.aggregate("corrections", F.lit(0).cast("long"), lambda a, c: a + c["count"])

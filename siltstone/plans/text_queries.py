@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.catalog import query, table
 from siltstone.functions import match, text
 from siltstone.functions.scoring import additive, cascade, polarity
-from siltstone.operators import digest, quality, summaries, transcripts
+from siltstone.operators import claims, digest, entities, quality, summaries, transcripts
 from siltstone.operators.insights import risk_level
 
 TERMS = [
@@ -46,9 +46,9 @@ def slugify_urls(spark, d):
 
 
 @query(r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS text FROM pages""")
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'), '[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS text FROM pages""")
 def html_clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_html("html").alias("text"))
 
@@ -88,20 +88,20 @@ def ticker_tokens(spark, d):
 
 @query(r"""
 WITH r(name, alias, type) AS (VALUES ('that','that','word'),('that','this','word'),('that','those','word'),('with','with','word'),('with','from','word'),('license','license','topic'),('license','License','topic'),('license','copyright','topic'),('nicht','nicht','word'),('nicht','und','word')),
-h AS (SELECT source, doc_id, name, alias, type FROM documents, r WHERE regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)'))
-SELECT source, name, type, array_to_string(list_sort(list_filter(list(DISTINCT alias), lambda a: a <> name)), ',') AS aliases, count(DISTINCT doc_id) AS n_evidence, min(doc_id) AS first_doc FROM h GROUP BY source, name, type""")
+h AS (SELECT conv_id, turn, name, alias, type FROM conversations, r WHERE regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)'))
+SELECT conv_id AS "rawItemId", name, type, array_to_string(list_sort(list_filter(list(DISTINCT alias), lambda a: a <> name)), ',') AS aliases, count(DISTINCT turn) AS n_evidence, min(turn) AS first_turn FROM h GROUP BY conv_id, name, type""")
 def entity_rollup(spark, d):
-    rows = match.dictionary_join(docs(spark, d).select("source", "doc_id", "text"), "text", TERMS, "boundary").select("source", "doc_id", "name", "type", F.explode("matched").alias("alias"))
-    rows = rows.groupBy("source", "name", "type").agg(F.array_sort(F.collect_set(F.when(F.col("alias") != F.col("name"), F.col("alias")))).alias("aliases"), F.countDistinct("doc_id").alias("n_evidence"), F.min("doc_id").alias("first_doc"))
-    return rows.withColumn("aliases", F.array_join("aliases", ","))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("rawItemId"), F.col("turn").alias("segmentId"), text.text_or_blank("text").alias("text"))
+    found = match.dictionary_join(rows, "text", TERMS, "boundary").withColumn("exchange", F.lit(None).cast("string"))
+    rows = entities.roll_up(found)
+    return rows.select("rawItemId", F.col("canonicalName").alias("name"), "type", F.array_join("aliases", ",").alias("aliases"), F.size("evidenceSegmentIds").cast("long").alias("n_evidence"), F.array_min("evidenceSegmentIds").alias("first_turn"))
 
 
 @query(r"""
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS w FROM documents)
 SELECT w AS "from", CASE WHEN w = 'with' THEN 'and' ELSE 'the' END AS "to", CASE WHEN w = 'with' THEN 'link' ELSE 'article' END AS reason, count(*) AS count FROM w WHERE w IN ('that', 'this', 'with') GROUP BY 1""")
 def correction_counts(spark, d):
-    rows = transcripts.normalize_terms(docs(spark, d).select("doc_id", "text"), GLOSSARY)
-    return transcripts.correction_counts(rows, "normalized.corrections")
+    return transcripts.count_aliases(docs(spark, d).select("doc_id", "text"), GLOSSARY)
 
 
 @query(f"SELECT doc_id, {TYPE_SQL} AS kind FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
@@ -139,26 +139,17 @@ def dedupe_fingerprint(spark, d):
 
 @query(r"""
 WITH l AS (
-  SELECT conv_id, i AS n, lower(p[i]) AS k FROM (SELECT conv_id, string_split(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), chr(10)) AS p FROM conversations GROUP BY 1), unnest(range(1, len(p) + 1)) AS t(i)),
-s AS (SELECT conv_id, n, k, CASE WHEN length(k) <= 6 THEN [k] ELSE list_distinct(list_transform(range(1, length(k) - 4), lambda i: substr(k, i, 6))) END AS g FROM l WHERE length(k) >= 6),
-p AS (SELECT a.conv_id, a.n AS a, b.n AS b, a.k AS ka, b.k AS kb, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS t FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.n < b.n)
-SELECT conv_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM p WHERE contains(ka, kb) OR contains(kb, ka) OR i >= 0.55 * (t - i)""")
+  SELECT conv_id, turn, i AS n, lower(p[i]) AS k FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS p FROM conversations), unnest(range(1, len(p) + 1)) AS t(i)),
+s AS (SELECT conv_id, turn, n, k, CASE WHEN length(k) <= 6 THEN [k] ELSE list_distinct(list_transform(range(1, length(k) - 4), lambda i: substr(k, i, 6))) END AS g FROM l WHERE length(k) >= 6),
+p AS (SELECT a.conv_id, a.turn AS turn_a, a.n AS line_a, b.turn AS turn_b, b.n AS line_b, a.k AS ka, b.k AS kb, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS t FROM s a JOIN s b ON a.conv_id = b.conv_id AND (a.turn < b.turn OR (a.turn = b.turn AND a.n < b.n)))
+SELECT conv_id, turn_a, CAST(line_a AS INTEGER) AS line_a, turn_b, CAST(line_b AS INTEGER) AS line_b FROM p WHERE contains(ka, kb) OR contains(kb, ka) OR i >= 0.55 * (t - i)""")
 def near_dup_lines(spark, d):
-    """Pairs of lines of a conversation that contain each other or share enough 6-grams; they meet on a
-    common 6-gram (containment implies one), never all with all. Lines under 6 characters are left out, equal
-    ones too: they have no 6-gram. (The reference compares quotes of at least 18 characters only.)"""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text.text_or_blank("text").alias("t")))).alias("m"))
-    rows = rows.select("conv_id", F.posexplode(F.split(F.array_join(F.transform("m", lambda x: x.t), "\n"), "\n")).alias("n", "k"))
-    rows = rows.select("conv_id", (F.col("n") + 1).alias("n"), F.lower("k").alias("k")).filter(F.length("k") >= 6).withColumn("g", text.shingles("k"))
-    grams = rows.select("conv_id", "n", F.explode("g").alias("gram"))
-    w = Window.partitionBy("conv_id", "gram")
-    grams = grams.withColumn("f", F.count("*").over(w)).filter("f > 1").drop("f")
-    pairs = grams.alias("x").join(grams.alias("y"), (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.n") < F.col("y.n")))
-    pairs = pairs.groupBy(F.col("x.conv_id").alias("conv_id"), F.col("x.n").alias("a"), F.col("y.n").alias("b")).agg(F.count("*").alias("i"))
-    side = lambda n: rows.select("conv_id", F.col("n").alias(n), F.col("k").alias(f"k{n}"), F.size("g").alias(f"s{n}"))
-    pairs = pairs.join(side("a"), ["conv_id", "a"]).join(side("b"), ["conv_id", "b"])
-    same = F.col("ka").contains(F.col("kb")) | F.col("kb").contains(F.col("ka")) | (F.col("i") >= F.lit(0.55) * (F.col("sa") + F.col("sb") - F.col("i")))
-    return pairs.filter(same).select("conv_id", "a", "b")
+    """Pairs of lines of a conversation that contain each other or share enough 6-grams. Lines under 6 characters are
+    left out, equal ones too: they have no 6-gram. (The reference compares quotes of at least 18 characters only.)"""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(text.text_or_blank("text"), "\n")).alias("n", "k"))
+    rows = rows.select("conv_id", F.struct("turn", (F.col("n") + 1).alias("line")).alias("n"), F.lower("k").alias("k")).filter(F.length("k") >= 6)
+    pairs = claims.near_copies(rows, ["conv_id"], "n", "k")
+    return pairs.select("conv_id", F.col("a.turn").alias("turn_a"), F.col("a.line").alias("line_a"), F.col("b.turn").alias("turn_b"), F.col("b.line").alias("line_b"))
 
 
 @query(rf"""
