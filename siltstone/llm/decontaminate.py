@@ -16,7 +16,8 @@ Defined results: a null or wordless text has no words, no hits and the digest of
 the empty string. Items with null or wordless text are ignored; an item with a
 null id still marks words but adds no id. Repeated item ids count once, repeated
 documents get one row each, extra columns of ``documents`` are not read by
-:func:`scan` and are kept as they are by :func:`decontaminate`.
+:func:`scan` and are kept as they are by :func:`decontaminate`. No documents give no
+rows, no items no hits; a text of any length is streamed whole.
 """
 
 from __future__ import annotations

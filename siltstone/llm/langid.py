@@ -19,7 +19,8 @@ for each language, so that no task ranks all rows of one. Only distinct words an
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
 rejected. With no training row every text is ``und``. Ties go to the language
-first in order. lang, source and doc_id are not inputs; extra columns are ignored.
+first in order. lang, source and doc_id are not inputs; extra columns are ignored. Equal
+texts get equal results, repeated rows a row each, no rows none; a text of any length is read whole.
 """
 
 from __future__ import annotations

@@ -17,7 +17,10 @@ with a third of all rows neither many rows nor many totals meet in a task.
 Defined results: a null source is a source of its own (null); a null text has 0
 tokens; a source without tokens gets weight 0 and no row unless ``keep_all``. Rows
 without doc_id are permuted by their text. Repeated rows are emitted each. Extra
-columns ride along in :func:`mix` whatever their names.
+columns ride along in :func:`mix` whatever their names. No rows give no rows. A text of
+any length is counted whole. Documents of equal key (equal ids) follow one another by id and a
+hash of their text. :func:`mix` returns the documents' columns alone, so that block and key of
+an emitted row are those of :func:`schedule`, not of a file's order.
 """
 
 from __future__ import annotations

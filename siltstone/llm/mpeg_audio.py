@@ -8,7 +8,9 @@ ancillary bytes of silent, CRC-protected layer III frames of variable bit rate.
 
 Defined results: a null text is the empty payload. Payloads are padded with zero
 bytes to a positive multiple of 64. Equal texts give equal media and features.
-Columns besides doc_id and text are not read.
+Columns besides doc_id and text are not read. Repeated documents get a row each, no
+documents none; a text of any length is one payload, whatever its bytes: sync words or tags in it
+lie inside frames, which are walked by their own lengths.
 """
 
 from __future__ import annotations

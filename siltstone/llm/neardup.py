@@ -19,7 +19,8 @@ the defaults (32 bands of 5), more above.
 Defined results: a text that is null or without words has n_shingles 0 and stands
 alone. A row without doc_id is linked with nothing, its component is null and it
 is kept. Repeated rows get one result row each. Columns other than doc_id and
-text are not read.
+text are not read. No rows give no rows. A text of any length is one set; equal sets (ties)
+are one node, whose least doc_id stands for it.
 """
 
 from __future__ import annotations

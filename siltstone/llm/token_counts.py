@@ -13,7 +13,9 @@ replaces (some may become empty, the last may grow), so the tree keeps its shape
 Defined results: a null or empty text has 0 tokens and takes insertions only. Positions
 are in characters of the text as it is when the edit is applied, edits apply in order;
 positions beyond the text are its end, an end before the start is the start, a null
-replacement is empty. Repeated documents each get their row; extra columns are ignored.
+replacement is empty. Repeated documents each get their row; extra columns are ignored. No rows
+give no rows. A text of any length is one tree; where it has no cut it is one leaf, which an edit
+encodes whole.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Algorithms against plain versions; no Spark."""
 
+import math
 import random
 import zlib
 
@@ -206,6 +207,16 @@ def test_mpeg_tag_letters_in_payload():
     assert cut["offsets"] == [0, 96] and cut["skipped"] == 46
 
 
+def test_payloads_full_of_sync_words():
+    rng = random.Random(14)
+    for n in range(40):
+        words = [b"\xff\xfb\x90\x00", b"\xff\xfb\x14\xc0", b"\xff", b"TAG", b"ID3", b"Xing", rng.randbytes(5)]
+        payload = mpeg_audio.padded(b"".join(rng.choice(words) for _ in range(rng.randint(0, 400))))
+        media = mpeg_audio.store(payload)
+        got = mpeg_audio.parse(media)
+        assert mpeg_audio.payload_of(media, got) == payload and got["crc_bad"] == 0 and got["skipped"] == 0, n
+
+
 def test_frame_sizes():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00]))[5] == 417
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x92, 0x00]))[5] == 418
@@ -274,3 +285,105 @@ def test_broken_chain(tmp_path):
 def test_crc_of_ids():
     ids = np.array([1, 49407], "<u4")
     assert zlib.crc32(ids.tobytes()) == zlib.crc32(b"\x01\0\0\0\xff\xc0\0\0")
+
+
+# -- classifiers against plain versions ------------------------------------------------
+
+
+def test_ftrl_equals_plain_rule():
+    """The per-coordinate rule of FTRL-proximal, one coordinate and row at a time."""
+    rng = random.Random(8)
+    rows = [(np.array(sorted(rng.sample(range(60), rng.randint(0, 12))), np.int64), int(n % 3 == 0)) for n in range(80)]
+    rows = [(np.append(f, 7) if y else f[f != 7], y) for f, y in rows]
+    rows = [(np.unique(f), y) for f, y in rows]
+    bits, size = 6, 64
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.PASSES):
+        for r in order.permutation(len(rows)):
+            active, y = [*rows[r][0].tolist(), size], rows[r][1]
+            w = {i: weight(i) for i in active}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+            g = (p - y) * (toxicity.WEIGHT if y else 1)
+            for i in active:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    live, weights, bias = toxicity.ftrl(rows, bits)
+    want = {i: weight(i) for i in range(size) if weight(i)}
+    assert live.tolist() == sorted(want) and 7 in want
+    assert np.allclose(weights, [want[i] for i in sorted(want)], atol=1e-5) and abs(bias - weight(size)) < 1e-9
+
+
+def plain_kneser_ney(counts, order, letters):
+    """word -> summed cost, from dictionaries of n-grams."""
+    padded = {f" {w} ": n for w, n in counts.items()}
+    tables = []
+    for n in range(1, order + 1):
+        c: dict = {}
+        if n == order:
+            for w, k in padded.items():
+                for i in range(1, len(w)):
+                    if i >= n - 1:
+                        c[w[i - n + 1 : i + 1]] = c.get(w[i - n + 1 : i + 1], 0) + k
+        else:
+            for gram in {w[i - n : i + 1] for w in padded for i in range(n, len(w))}:
+                c[gram[1:]] = c.get(gram[1:], 0) + 1
+            for w, k in padded.items():
+                if 1 <= n - 1 < len(w):
+                    c[w[:n]] = c.get(w[:n], 0) + k
+        total: dict = {}
+        kinds: dict = {}
+        for gram, k in c.items():
+            total[gram[:-1]] = total.get(gram[:-1], 0) + k
+            kinds[gram[:-1]] = kinds.get(gram[:-1], 0) + 1
+        tables.append((c, total, kinds))
+
+    def cost(word):
+        w, out = f" {word} ", 0.0
+        for i in range(1, len(w)):
+            p = 1 / letters
+            for n, (c, total, kinds) in enumerate(tables, 1):
+                if i < n - 1:
+                    break
+                context = w[i - n + 1 : i]
+                if context in total:
+                    share = max(c.get(context + w[i], 0) - langid.DISCOUNT, 0) / total[context]
+                    p = share + min(langid.DISCOUNT * kinds[context] / total[context], 1.0) * p
+            out -= math.log(max(p, 1e-12))
+        return out
+
+    return cost
+
+
+def test_kneser_ney_equals_plain_version():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
+    counts = {word(): rng.randint(1, 9) for _ in range(60)}
+    for order in (2, 3, 4):
+        model = langid.Identifier({"x": langid.KneserNey(counts, order)})
+        plain = plain_kneser_ney(counts, order, 1000)
+        texts = [*list(counts)[:20], *(word() for _ in range(30)), "zzz", "a"]
+        got = model.totals(texts)[:, 0]
+        assert np.allclose(got, [plain(t) for t in texts], rtol=1e-4), order
+
+
+def test_only_one_memo_is_held():
+    from siltstone.llm import _shared
+
+    a = _shared.worker_memo("a", dict)
+    a["x"] = 1
+    assert _shared.worker_memo("a", dict) is a
+    assert _shared.worker_memo("b", dict) == {} and list(_shared._HELD) == ["b"]
+    assert _shared.worker_memo("b", dict, full=lambda m: True) == {}
+
+
+def test_file_numbers_beyond_five_digits(spark):
+    names = [(f"part-{n:05d}-x-c000.snappy.parquet", 10) for n in (99999, 100000, 2, 100001)]
+    rows = spark.createDataFrame(names, "file_name string, n_tokens long")
+    assert {r.number: r.base for r in token_output.file_starts(rows).collect()} == {2: 0, 99999: 10, 100000: 20, 100001: 30}

@@ -423,3 +423,47 @@ def test_pipeline(spark, tmp_path):
             mixed = [r.doc_id for r in docs.collect()]
     rows = docs.orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(mixed) and rows[-1].start + rows[-1].n_tokens == sum(len(r.ids) for r in rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables in every stage."""
+    pytest.importorskip("public_tokenizers")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([("q", None), (None, "completely different words here")], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+    rows, empty = docs, none
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, d)
+        out.write.parquet(f"{d}/{name}")
+        rows = spark.read.parquet(f"{d}/{name}")
+        sizes.append(rows.count())
+        assert stage(spark, empty, d).count() == 0
+        assert name == "token_output" or out.columns == docs.columns
+    # all; one each of (1, 2, 3, 3), (7, 8), (9, 10); without id 11; small sources again
+    assert sizes[:3] == [len(ROWS), 9, 8] and sizes[3] == sizes[4] >= 8
+    ids = {r.doc_id for r in rows.collect()}
+    assert ids == {1, 4, 5, 6, 7, 9, None}
+
+
+def test_select_tokens_reads_a_range(spark, docs, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    path = str(tmp_path / "t")
+    token_output.write_tokens(docs, path, metadata=("lang",))
+    got = token_output.select_tokens(spark, path, 4, 7, ("lang", "n_tokens"))
+    assert got.columns == ["doc_id", "lang", "n_tokens"] and sorted(r.doc_id for r in got.collect()) == [4, 5, 6, 7]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_repeated_ids_do_not_grow_the_samples(spark):
+    a, b = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(a, f"text {n % 4}", "en") for n in range(200)] + [(b, "der text", "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.sample_ids(table, 400).count() == 2
+    assert toxicity.train(table, spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, toxic int")) is not None
+    many = spark.createDataFrame([(n, "x", "en") for n in range(5000)], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in langid.sample_ids(many, 20).collect()}
+    kept = many.filter("crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o").limit(20)
+    assert got == {r.doc_id for r in kept.collect()}
