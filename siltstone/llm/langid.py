@@ -224,7 +224,8 @@ def sample_ids(docs: DataFrame, per_lang: int) -> DataFrame:
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     limit = sizes.select("lang", F.when(F.col("n") > SPARE * per_lang, SPARE * per_lang / F.col("n")).otherwise(1.0).alias("part"))
     low = F.col("o") / F.lit(2.0**64) + 0.5  # uniform in [0, 1]
-    ids = known.join(limit, "lang").filter(low <= F.col("part")).select("doc_id", "lang", "o").distinct()
+    # a row for each language, of each of which the driver holds a model
+    ids = known.join(F.broadcast(limit), "lang").filter(low <= F.col("part")).select("doc_id", "lang", "o").distinct()
     w = Window.partitionBy("lang").orderBy("o", "doc_id")
     return ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang).select("doc_id", F.col("lang").alias("y"))
 
