@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 
 def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All objects (or arrays of objects) of a folder, with ``item_key`` from the file name; broken files go."""
+    """All objects (or arrays of objects) of a folder, with ``item_key`` from the file name; broken files are left to :func:`broken_items`."""
     corrupt = "_corrupt_record"
     rows = spark.read.schema(f"{schema}, {corrupt} string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     rows = rows.withColumn("item_key", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
     return rows.filter(F.col(corrupt).isNull()).drop(corrupt)
 
 
+def broken_items(spark: SparkSession, path: str) -> DataFrame:
+    """Failure rows (table, id, check, detail) of the files that hold no JSON."""
+    rows = spark.read.option("wholetext", True).text(path)
+    key = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    rows = rows.select(F.lit("items").alias("table"), key.alias("id"), F.lit("unreadable").alias("check"), F.substring("value", 1, 120).alias("detail"), F.try_parse_json("value").isNull().alias("broken"))
+    return rows.filter("broken").drop("broken")
+
+
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Like :func:`read_items`; a missing folder is an empty table."""
     jvm = spark._jvm

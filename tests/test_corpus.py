@@ -200,6 +200,7 @@ def test_json_tables(spark, tmp_path):
     (tmp_path / "in/b.json").write_text("{broken")
     rows = json_tables.read_items(spark, str(tmp_path / "in"), "id string")
     assert sorted((r.id, r.item_key) for r in rows.collect() if r.id) == [("1", "a"), ("2", "a")]
+    assert [tuple(r) for r in json_tables.broken_items(spark, str(tmp_path / "in")).collect()] == [("items", "b", "unreadable", "{broken")]
     assert json_tables.read_optional(spark, str(tmp_path / "none"), "id string").count() == 0
     json_tables.write_items(spark.createDataFrame([("1", None)], "id string, x string"), str(tmp_path / "out"))
     assert '"x"' not in next((tmp_path / "out/item_key=1").glob("*.json")).read_text()
