@@ -16,7 +16,7 @@ def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def broken_items(spark: SparkSession, path: str) -> DataFrame:
     """Failure rows (table, id, check, detail) of the files that hold no JSON."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     key = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     rows = rows.select(F.lit("items").alias("table"), key.alias("id"), F.lit("unreadable").alias("check"), F.substring("value", 1, 120).alias("detail"), F.try_parse_json("value").isNull().alias("broken"))
     return rows.filter("broken").drop("broken")
