@@ -9,6 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -83,14 +86,40 @@ def worker_memo(key, make: Callable, full: Callable | None = None):
     finds its own memo ``full``, drops what is held, so memos of several operators never add up.
     """
     if key not in _HELD or (full and full(_HELD[key])):
-        _HELD.clear()
-        gc.collect()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc: give freed pages back
-            trim(0)
+        drop_memo()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def drop_memo() -> None:
+    """For tasks that need no memo, as the worker may hold one of an operator before."""
+    _HELD.clear()
+    gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed pages, Arrow's and the allocator's, to the system; both keep them otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+PART_ROWS = 2000
+PART_BYTES = 2 << 20
+
+
+def sliced(batch: pa.RecordBatch, text: int | str = "text", rows: int = PART_ROWS, size: int = PART_BYTES):
+    """Parts of at most ``rows`` rows and ``size`` bytes of text; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        most = size + (int(ends[at - 1]) if at else 0)
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def held_out(doc_id):
     """Rows whose crc32(doc_id as text) mod 3 is 1; false for a null doc_id."""
     return F.coalesce((F.crc32(doc_id.cast("string")) % 3) == 1, F.lit(False))

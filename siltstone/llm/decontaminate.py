@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from siltstone.llm._shared import fresh, materialize, release
+from siltstone.llm._shared import drop_memo, fresh, give_back, materialize, release, sliced
 
 WINDOW = 10
 SHARD_WORDS = 100_000
@@ -226,9 +226,14 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int
     def keep(batch, documents, spans, items):
         return pa.RecordBatch.from_arrays([*batch.columns, _spans_array(spans), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], names)
 
+    def parts_of(batch):
+        yield from sliced(batch, at, rows=500)
+        give_back()
+
     def scanned(rows, automata, end, kinds):
         def run(batches):
-            for whole in batches:
+            drop_memo()
+            for whole in chain.from_iterable(map(parts_of, batches)):
                 batch = whole.select(list(range(width)))
                 documents = [words_of(t) for t in batch.column(at).to_pylist()]
                 spans, items = [[] for _ in documents], [set() for _ in documents]

@@ -9,7 +9,9 @@ metadata alone, touches only those pages and columns.
 
 Encoding. The tokenizers library drops white space before its merges, so a text
 encodes to its space-separated chunks' ids in a row; each distinct chunk goes
-through the library once per worker while it is held in a bounded memo.
+through the library once per worker while it is held in a bounded memo. Texts
+are taken in parts of bounded size, so that a worker's memory doesn't follow the
+size of Arrow's batches; a longer text is a part of its own.
 
 Defined results: a null or empty text is the end id alone. Equal doc_ids are
 ordered by a hash of their text; a null doc_id comes first. Other columns are
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._shared import fresh, scratch_path, worker_memo
+from siltstone.llm._shared import drop_memo, fresh, give_back, scratch_path, sliced, worker_memo
 
 END_ID = 1
-MEMO_CHUNKS = 1_000_000
-MEMO_CHARS = 24_000_000
+MEMO_CHUNKS = 600_000
+MEMO_CHARS = 12_000_000
 _MARKS = set(".,;:!?")
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
@@ -86,11 +88,9 @@ class ChunkEncoder:
 
     def _reset(self):
         self.memo = Memo()
-        self.cores: dict[str, int] = {}  # chunks without a mark at their end, by place in the pool
-        self.ids = np.zeros(1 << 20, np.int32)  # the pool: ids of all chunks and cores
-        self.place = np.zeros((1 << 18, 2), np.int64)  # of cores: first id, count
-        self.placed = self.filled = self.chars = 0
-        self.chunk = np.zeros((1 << 18, 2), np.int64)  # of chunks, by their number
+        self.ids = np.zeros(1 << 20, np.int32)  # the pool: ids of all chunks
+        self.filled = self.chars = 0
+        self.chunk = np.zeros((1 << 18, 2), np.int64)  # of chunks, by their number: first id, count
         end = [] if self.end_id is None else [self.end_id]
         self.chunk[0] = self._pool(np.array(end, np.int32)), len(end)
 
@@ -102,22 +102,17 @@ class ChunkEncoder:
         self.filled += len(flat)
         return at
 
-    def _place(self, names: list[str], flat: np.ndarray, sizes: np.ndarray):
-        n = len(names)
-        while self.placed + n > len(self.place):
-            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
-        at = self._pool(flat)
-        self.place[self.placed : self.placed + n, 0] = at + np.cumsum(sizes) - sizes
-        self.place[self.placed : self.placed + n, 1] = sizes
-        self.cores.update(zip(names, range(self.placed, self.placed + n)))
-        self.placed += n
-
-    def _place_whole(self, names: list[str]):
-        lists = self._whole(names)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._place(names, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
-
-    def _place_words(self, names: list[str]):
+    def _place(self, numbers, flat: np.ndarray, sizes: np.ndarray):
+        self.chunk[numbers, 0] = self._pool(flat) + np.cumsum(sizes) - sizes
+        self.chunk[numbers, 1] = sizes
+
+    def _place_whole(self, names: list[str], numbers: list[int]):
+        for at in range(0, len(names), 4096):
+            lists = self._whole(names[at : at + 4096])
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._place(numbers[at : at + 4096], np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+
+    def _place_words(self, names: list[str], numbers: list[int]):
         """All-letter words: many in one text, told apart by the tokens that end a word."""
         for at in range(0, len(names), 4096):
             part = names[at : at + 4096]
@@ -125,16 +120,16 @@ class ChunkEncoder:
             flat = np.fromiter(chain.from_iterable(lists), np.int32)
             ends = np.flatnonzero(self.closes[flat]) + 1
             if len(ends) == len(part):
-                self._place(part, flat, np.diff(ends, prepend=0))
+                self._place(numbers[at : at + 4096], flat, np.diff(ends, prepend=0))
             else:
-                self._place_whole(part)
+                self._place_whole(part, numbers[at : at + 4096])
 
-    def _learn(self, new: list[str]):
-        """Place new chunks; a letter and one mark after it never share a token."""
-        cores, core, tail, words, odd = self.cores, [], [], {}, {}
-        every = " ".join(new).lower()
+    def _split(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """Cores and marks of chunks; a letter and one mark after it never share a token."""
+        core, tail = [], []
+        every = " ".join(chunks).lower()
         added = [t for t in self.added if t in every]
-        for c in new:
+        for c in chunks:
             mark = c[-1:]
             if mark in _MARKS and _stays_letter(c[-2:-1]):
                 c = c[:-1]
@@ -144,15 +139,23 @@ class ChunkEncoder:
                 c = c.lower()  # the normaliser lower-cases too
             core.append(c)
             tail.append(mark)
-            if c not in cores:
-                (words if c.isalpha() else odd)[c] = None
-        self._place_words(list(words))
-        self._place_whole([c for c in {**odd, **dict.fromkeys(tail)} if c not in cores])
-        first = self.place[np.fromiter(map(cores.__getitem__, core), np.int64, len(core))]
-        last = self.place[np.fromiter(map(cores.__getitem__, tail), np.int64, len(tail))]
+        return core, tail
+
+    def _learn(self):
+        """Place the memo's new chunks; cores and marks are chunks too, and join the memo if they are new."""
+        number, new = self.memo.__getitem__, self.memo.new
         n = len(self.memo) - len(new) + 1
+        core, tail = self._split(new)
+        core = np.fromiter(map(number, core), np.int64, len(core))
+        tail = np.fromiter(map(number, tail), np.int64, len(tail))
         while n + len(new) > len(self.chunk):
             self.chunk = np.concatenate([self.chunk, np.zeros_like(self.chunk)])
+        derived = core != np.arange(n, n + len(core))  # all others are their own core
+        own = np.concatenate([np.flatnonzero(~derived), np.arange(len(core), len(new))]).tolist()
+        words, odd = [i for i in own if new[i].isalpha()], [i for i in own if not new[i].isalpha()]
+        self._place_words([new[i] for i in words], [n + i for i in words])
+        self._place_whole([new[i] for i in odd], [n + i for i in odd])
+        first, last = self.chunk[core[derived]], self.chunk[tail[derived]]
         both = np.stack([first, last], 1).reshape(-1, 2)
         sizes = first[:, 1] + last[:, 1]
         copied = last[:, 1] > 0  # others share the place of their core
@@ -160,9 +163,11 @@ class ChunkEncoder:
         at = self._pool(self._gather(both[:, 0], both[:, 1]))
         starts = first[:, 0].copy()
         starts[copied] = at + np.cumsum(some) - some
-        self.chunk[n : n + len(new), 0] = starts
-        self.chunk[n : n + len(new), 1] = sizes
+        numbers = n + np.flatnonzero(derived)
+        self.chunk[numbers, 0] = starts
+        self.chunk[numbers, 1] = sizes
         self.chars += sum(map(len, new))
+        self.memo.new = []
 
     def _gather(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         before = np.cumsum(count) - count
@@ -184,8 +189,7 @@ class ChunkEncoder:
                 index.append(0)
                 closes.append(len(index))
             if self.memo.new:
-                self._learn(self.memo.new)
-                self.memo.new = []
+                self._learn()
         finally:
             if collecting:
                 gc.enable()
@@ -206,11 +210,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def sliced(batch: pa.RecordBatch, rows: int):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -243,12 +242,13 @@ def write_tokens(
     def run(batches):
         enc, held = encoder(tokenizer, end_id), 0
         for whole in batches:
-            for batch in sliced(whole, 2000):
+            for batch in sliced(whole):
                 ids = enc.encode(batch.column("text").to_pylist())
                 n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
                 before = np.cumsum(n) - n + held
                 held += int(n.sum())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(before), ids], [*batch.schema.names[:-1], "n_tokens", "before", "ids"])
+            give_back()
 
     out = rows.mapInArrow(run, ", ".join([*kinds, "n_tokens long", "before long", "ids array<int>"]))
     options = {
@@ -288,6 +288,7 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
     kind = at.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        drop_memo()  # that of the writing tasks
         for batch in batches:
             ids = batch.column("ids")
             offsets = ids.offsets.to_numpy()

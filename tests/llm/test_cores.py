@@ -1,13 +1,17 @@
 """Algorithms against plain versions; no Spark."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siltstone.llm import decontaminate, langid, mpeg_audio, neardup, token_counts, token_output, toxicity, warc
+from siltstone.llm import _shared, decontaminate, langid, mpeg_audio, neardup, token_counts, token_output, toxicity, warc
 
 
 # -- decontamination -----------------------------------------------------------
@@ -101,6 +105,43 @@ def test_chunk_encoder_keeps_case_of_markers(tmp_path):
             assert e.encode(part).to_pylist() == [x + [1] for x in e._whole(part)]
 
 
+def test_chunk_encoder_holds_little_memory():
+    pytest.importorskip("public_tokenizers")
+    code = """
+import random, resource
+from siltstone.llm import token_output
+e, rng = token_output.ChunkEncoder(token_output.default_tokenizer()), random.Random(3)
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before, letters = peak(), "abcdefghijklmnopqrstuvwxyz"
+for _ in range(40):
+    e.encode([" ".join("".join(rng.choices(letters, k=6)) + rng.choice(["", ".", ","]) for _ in range(20_000))])
+print(peak() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, env=os.environ | {"PYTHONPATH": root})
+    assert float(got.stdout) < 220
+
+
+def test_chunk_encoder_with_a_small_memo(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_output, "MEMO_CHUNKS", 40)
+    e, rng = token_output.ChunkEncoder(token_output.default_tokenizer()), random.Random(5)
+    for _ in range(30):
+        texts = rng.sample(ODD, min(3, len(ODD))) + ["".join(rng.choice("abAB é.,'\n 1!?") for _ in range(rng.randint(0, 80))) for _ in range(8)]
+        assert e.encode(texts).to_pylist() == [x + [1] for x in e._whole([t or "" for t in texts])]
+
+
+def test_parts_are_bounded_by_bytes():
+    texts = ["é" * 40, None, "", "a" * 500, "b", *["c" * 30] * 7, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for at in (0, 1, 3):  # of a slice too
+        parts = list(_shared.sliced(batch.slice(at), rows=4, size=100))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == texts[at:]
+        held = [[len((t or "").encode()) for t in p.column("text").to_pylist()] for p in parts]
+        assert all(len(h) <= 4 and (sum(h) <= 100 or len(h) == 1) for h in held) and any(sum(h) > 100 for h in held)
+    assert list(_shared.sliced(batch.slice(0, 0))) == []
+
+
 def test_token_tree_follows_edits():
     pytest.importorskip("public_tokenizers")
     count, rng = token_counts.counter(), random.Random(6)
@@ -374,13 +415,13 @@ def test_kneser_ney_equals_plain_version():
 
 
 def test_only_one_memo_is_held():
-    from siltstone.llm import _shared
-
     a = _shared.worker_memo("a", dict)
     a["x"] = 1
     assert _shared.worker_memo("a", dict) is a
     assert _shared.worker_memo("b", dict) == {} and list(_shared._HELD) == ["b"]
     assert _shared.worker_memo("b", dict, full=lambda m: True) == {}
+    _shared.drop_memo()
+    assert not _shared._HELD
 
 
 def test_file_numbers_beyond_five_digits(spark):
