@@ -9,9 +9,12 @@ metadata alone, touches only those pages and columns.
 
 Encoding. The tokenizers library drops white space before its merges, so a text
 encodes to its space-separated chunks' ids in a row; each distinct chunk goes
-through the library once per worker while it is held in a bounded memo. Texts
-are taken in parts of bounded size, so that a worker's memory doesn't follow the
-size of Arrow's batches; a longer text is a part of its own.
+through the library once per worker while it is held in a bounded memo. A full
+memo keeps its most used chunks. Words of Latin letters skip the library's
+normaliser and regular expression where these are known to do nothing to such
+words but lower-case them. Texts are taken in parts of bounded size, so that a
+worker's memory doesn't follow the size of Arrow's batches; a longer text is a
+part of its own.
 
 Defined results: a null or empty text is the end id alone. Equal doc_ids are
 ordered by a hash of their text; a null doc_id comes first. Other columns are
@@ -22,9 +25,13 @@ length is one row and one list.
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 import zlib
-from itertools import chain
+from array import array
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,28 +43,36 @@ from siltstone.llm._shared import drop_memo, fresh, give_back, scratch_path, sli
 END_ID = 1
 MEMO_CHUNKS = 600_000
 MEMO_CHARS = 12_000_000
-_MARKS = set(".,;:!?")
+_MARKS = ".,;:!?*#$%&"
+_NOT_LATIN = re.compile("[^\0-\u012f\u0131-\u024f]")  # of these letters lower-casing and composition make single letters
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 
 
+# of the tokenizer file: what is done to a text before its merges
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _stays_letter(c: str) -> bool:
     """Latin letters that are still single letters after composition and lower-casing."""
     return c.isalpha() and c < "\u0250" and c != "\u0130"
 
 
-class Memo(dict):
-    """Numbers chunks as they are first seen and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        n = self[chunk] = len(self) + 1  # 0 closes a document
-        self.new.append(chunk)
-        return n
-
-
 class ChunkEncoder:
     """Encodes texts chunk by chunk with a bounded memo; the ids equal those of the whole text.
 
@@ -78,22 +93,68 @@ class ChunkEncoder:
         probe = "One two'll  3three,\nété   x\n\n fin. <|endoftext|>y"
         # the library matches these in the raw text, before it lower-cases
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.marks = "".join(m for m in _MARKS if not any(m in t for t in self.added))
+        # an added token with a digit or a mark is in no word of letters
+        self.apart = all(any("!" <= c <= "~" and not c.isalpha() for c in t) for t in self.added)
+        self.words = self._word_tokenizer()
         self.chunked = bool(self.closes.any()) and self._whole([probe])[0] == [
             i for x in self._whole(probe.replace("\n", " ").split(" ")) for i in x
         ]
         self._reset()
 
+    def _word_tokenizer(self):
+        """The same model without normaliser, for lower-cased words of Latin letters between spaces; None if it might differ."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+        spec = json.loads(self.tokenizer.to_str())
+        same = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
+        if not same or not self.apart or spec["truncation"] or spec["padding"]:
+            return None
+        words = Tokenizer(self.tokenizer.model)  # shared, not copied
+        words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return words
+
     def _whole(self, texts):
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lowered(self, texts):
+        return [e.ids for e in self.words.encode_batch_fast([t.lower() for t in texts], add_special_tokens=False)]
 
     def _reset(self):
-        self.memo = Memo()
+        self.memo = defaultdict(count(1).__next__)  # numbers chunks as they are first seen; 0 closes a document
         self.ids = np.zeros(1 << 20, np.int32)  # the pool: ids of all chunks
         self.filled = self.chars = 0
         self.chunk = np.zeros((1 << 18, 2), np.int64)  # of chunks, by their number: first id, count
+        self.used = np.zeros(1 << 18, np.int32)  # by their number, too
+        self.known = 0  # chunks that have a place
         end = [] if self.end_id is None else [self.end_id]
         self.chunk[0] = self._pool(np.array(end, np.int32)), len(end)
 
+    def _shrink(self):
+        """Keep the chunks used most, a quarter of the memo at most; of the others nothing is held."""
+        names, used = list(self.memo), self.used[1 : self.known + 1]
+        kept = np.flatnonzero(used > 1)
+        kept = kept[np.argsort(-used[kept], kind="stable")][: MEMO_CHUNKS // 4]
+        names = [names[i] for i in kept.tolist()]
+        sizes = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+        names = names[: int(np.searchsorted(sizes, MEMO_CHARS // 4, "right"))]
+        kept = kept[: len(names)]
+        used, places = used[kept] // 2, self.chunk[kept + 1]  # old use counts for less
+        flat = self._gather(places[:, 0], places[:, 1])
+        self._reset()
+        for name in names:
+            self.memo[name]
+        self._room(len(names) + 1)
+        self._place(np.arange(1, len(names) + 1), flat, places[:, 1])
+        self.used[1 : len(names) + 1] = used
+        self.known, self.chars = len(names), sum(map(len, names))
+
+    def _room(self, n: int):
+        while n > len(self.chunk):
+            self.chunk = np.concatenate([self.chunk, np.zeros_like(self.chunk)])
+            self.used = np.concatenate([self.used, np.zeros_like(self.used)])
+
     def _pool(self, flat: np.ndarray) -> int:
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -112,11 +173,11 @@ class ChunkEncoder:
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self._place(numbers[at : at + 4096], np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
 
-    def _place_words(self, names: list[str], numbers: list[int]):
+    def _place_words(self, names: list[str], numbers: list[int], encode):
         """All-letter words: many in one text, told apart by the tokens that end a word."""
         for at in range(0, len(names), 4096):
             part = names[at : at + 4096]
-            lists = self._whole([" ".join(part[i : i + 128]) for i in range(0, len(part), 128)])
+            lists = encode([" ".join(part[i : i + 128]) for i in range(0, len(part), 128)])
             flat = np.fromiter(chain.from_iterable(lists), np.int32)
             ends = np.flatnonzero(self.closes[flat]) + 1
             if len(ends) == len(part):
@@ -125,16 +186,17 @@ class ChunkEncoder:
                 self._place_whole(part, numbers[at : at + 4096])
 
     def _split(self, chunks: list[str]) -> tuple[list[str], list[str]]:
-        """Cores and marks of chunks; a letter and one mark after it never share a token."""
+        """Cores and marks of chunks; a letter and the marks after it never share a token."""
         core, tail = [], []
+        marks = self.marks
         every = " ".join(chunks).lower()
         added = [t for t in self.added if t in every]
         for c in chunks:
-            mark = c[-1:]
-            if mark in _MARKS and _stays_letter(c[-2:-1]):
-                c = c[:-1]
-            else:
-                mark = ""
+            mark = ""
+            if c[-1:] in marks:
+                bare = c.rstrip(marks)
+                if bare and _stays_letter(bare[-1]):
+                    c, mark = bare, c[len(bare) :]
             if c.isascii() and not (added and any(t in c.lower() for t in added)):
                 c = c.lower()  # the normaliser lower-cases too
             core.append(c)
@@ -143,17 +205,25 @@ class ChunkEncoder:
 
     def _learn(self):
         """Place the memo's new chunks; cores and marks are chunks too, and join the memo if they are new."""
-        number, new = self.memo.__getitem__, self.memo.new
-        n = len(self.memo) - len(new) + 1
+        number, n = self.memo.__getitem__, self.known + 1
+        new = self._unknown()
         core, tail = self._split(new)
         core = np.fromiter(map(number, core), np.int64, len(core))
         tail = np.fromiter(map(number, tail), np.int64, len(tail))
-        while n + len(new) > len(self.chunk):
-            self.chunk = np.concatenate([self.chunk, np.zeros_like(self.chunk)])
+        new = self._unknown()
+        self._room(n + len(new))
         derived = core != np.arange(n, n + len(core))  # all others are their own core
         own = np.concatenate([np.flatnonzero(~derived), np.arange(len(core), len(new))]).tolist()
-        words, odd = [i for i in own if new[i].isalpha()], [i for i in own if not new[i].isalpha()]
-        self._place_words([new[i] for i in words], [n + i for i in words])
+        latin, words, odd = [], [], []
+        for i in own:
+            if not self.apart or not new[i].isalpha():
+                odd.append(i)
+            elif self.words is None or _NOT_LATIN.search(new[i]):
+                words.append(i)
+            else:
+                latin.append(i)
+        self._place_words([new[i] for i in latin], [n + i for i in latin], self._lowered)
+        self._place_words([new[i] for i in words], [n + i for i in words], self._whole)
         self._place_whole([new[i] for i in odd], [n + i for i in odd])
         first, last = self.chunk[core[derived]], self.chunk[tail[derived]]
         both = np.stack([first, last], 1).reshape(-1, 2)
@@ -166,8 +236,19 @@ class ChunkEncoder:
         numbers = n + np.flatnonzero(derived)
         self.chunk[numbers, 0] = starts
         self.chunk[numbers, 1] = sizes
+        self._use(core)
         self.chars += sum(map(len, new))
-        self.memo.new = []
+        self.known += len(new)
+
+    def _unknown(self) -> list[str]:
+        """Chunks without a place, in the order of their numbers."""
+        new = list(islice(reversed(self.memo), len(self.memo) - self.known))
+        new.reverse()
+        return new
+
+    def _use(self, numbers: np.ndarray):
+        found = np.bincount(numbers)
+        self.used[: len(found)] = np.minimum(self.used[: len(found)] + found, 1 << 30)
 
     def _gather(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         before = np.cumsum(count) - count
@@ -175,11 +256,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         if len(self.memo) > MEMO_CHUNKS or self.chars > MEMO_CHARS:
-            self._reset()
+            self._shrink()
         if not self.chunked:
             end = [] if self.end_id is None else [self.end_id]
             return pa.array([x + end for x in self._whole([t or "" for t in texts])], pa.list_(pa.int32()))
-        number, index, closes = self.memo.__getitem__, [], [0]
+        number, index, closes = self.memo.__getitem__, array("q"), [0]
         collecting = gc.isenabled()
         gc.disable()  # the memo's many strings hold no cycles, and walking them costs a tenth of the time
         try:
@@ -188,15 +269,16 @@ class ChunkEncoder:
                     index.extend(map(number, t.replace("\n", " ").split(" ")))
                 index.append(0)
                 closes.append(len(index))
-            if self.memo.new:
+            if len(self.memo) > self.known:
                 self._learn()
         finally:
             if collecting:
                 gc.enable()
-        index = np.array(index, np.int64)
-        first, count = self.chunk[index, 0], self.chunk[index, 1]
-        ends = np.concatenate(([0], np.cumsum(count)))[np.array(closes)]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self._gather(first, count)))
+        index = np.frombuffer(index, np.int64)
+        self._use(index)
+        first, sizes = self.chunk[index, 0], self.chunk[index, 1]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.array(closes)]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self._gather(first, sizes)))
 
 
 def encoder(path: str, end_id: int | None = END_ID) -> ChunkEncoder:

@@ -131,6 +131,42 @@ def test_chunk_encoder_with_a_small_memo(monkeypatch):
         assert e.encode(texts).to_pylist() == [x + [1] for x in e._whole([t or "" for t in texts])]
 
 
+def test_full_memo_keeps_used_chunks(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_output, "MEMO_CHUNKS", 200)
+    e, learnt, split = token_output.ChunkEncoder(token_output.default_tokenizer()), [], token_output.ChunkEncoder._split
+    monkeypatch.setattr(token_output.ChunkEncoder, "_split", lambda self, chunks: learnt.extend(chunks) or split(self, chunks))
+    often = [f"{a}{b}" for a in "abcd" for b in "vwxyz"]
+    for k in range(40):
+        texts = [" ".join([*often, *(f"rare{k}x{i}" for i in range(30))])] * 2
+        assert e.encode(texts).to_pylist() == [x + [1] for x in e._whole(texts)]
+    assert [learnt.count(w) for w in often] == [1] * len(often)
+    assert len(e.memo) < 400  # those seen in one part only went
+
+
+def test_latin_words_encode_as_by_the_library(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    path = token_output.default_tokenizer()
+    e, rng = token_output.ChunkEncoder(path), random.Random(8)
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha() and not token_output._NOT_LATIN.search(c)]
+    assert len(letters) > 400 and "é" in letters and "İ" not in letters
+    words = [*letters, *("a" + c + "B" for c in letters), *("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000))]
+    assert e.words is not None and e._lowered(words) == e._whole(words)
+    ended = [w + "".join(rng.choices(token_output._MARKS + "'\"-", k=rng.randint(1, 4))) for w in words]
+    assert e.encode([" ".join(ended)]).to_pylist() == [e._whole([" ".join(ended)])[0] + [1]]
+    for added in (["zz", "a!"], ["$$"], []):  # tokens that may lie in a word, or over a word and its mark; another normaliser
+        other = tokenizers.Tokenizer.from_file(path)
+        other.add_special_tokens(added)
+        if not added:
+            other.normalizer = tokenizers.normalizers.Sequence([tokenizers.normalizers.NFKC(), tokenizers.normalizers.Lowercase()])
+        other.save(str(tmp_path / "other.json"))
+        o = token_output.ChunkEncoder(str(tmp_path / "other.json"))
+        texts = ["azzb zz, ba! a!! a!? b$$$ c$$, ª ŉ ĳ Ǆ"]
+        assert (o.words is None) == (added != ["$$"])
+        assert o.encode(texts).to_pylist() == [x + [1] for x in o._whole(texts)]
+
+
 def test_parts_are_bounded_by_bytes():
     texts = ["é" * 40, None, "", "a" * 500, "b", *["c" * 30] * 7, None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
