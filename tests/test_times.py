@@ -88,6 +88,15 @@ def test_nearest(spark):
     assert got == {10.0: 9.0, 20.0: 22.0, 99.0: None}
 
 
+def test_nearest_broadcasts_nothing(spark):
+    t = spark.range(1, 3).select(F.col("id").alias("k"), F.explode(F.array(*[F.lit(float(i)) for i in range(10)])).alias("t"))
+    p = spark.range(1, 4).select(F.ceil(F.col("id") / 2).alias("k"), F.element_at(F.array(F.lit(0.4), F.lit(8.6), F.lit(3.5)), F.col("id").cast("int")).alias("p"))
+    rows = chunkplan.nearest(t, p, ["k"], "t", "p", 0.5)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.t): r.nearest for r in rows.filter("nearest is not null").collect()} == {(1, 0.0): 0.4, (1, 9.0): 8.6, (2, 3.0): 3.5, (2, 4.0): 3.5}
+    assert rows.count() == 20
+
+
 def test_glossary_counts():
     g = transcripts.Glossary([{"name": "台積電", "aliases": ["台積", "TSMC"], "kind": "asset"}, {"name": "聯準會", "aliases": ["Fed"], "kind": "macro"}])
     out, found = g.apply("台積電與台積、TSMC，federal Fed")
