@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import rules as R
-from siltstone.functions.text import any_pattern, without_lines
+from siltstone.functions.text import any_pattern, guarded, without_lines
 
 #: fixed value: what bullets are compared without
 BULLET_MARKS = r"(?U)[\s，。！？；：、,.!?;:「」『』()（）【】]"
@@ -81,7 +81,7 @@ def check_summaries(summaries: DataFrame, gate: dict | None = None) -> DataFrame
     tldr = F.regexp_extract(body, rf"(?m)^{g['body_start']}(.+)$", 1)
     plain = lambda x: F.lower(F.regexp_replace(x, BULLET_MARKS, ""))
     bullet_keys = F.transform(F.col("points"), plain)
-    simple = F.size(F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for p in g["simplified"]])))
+    simple = F.size(F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(f"({guarded(p)})"), F.lit(1)) for p in g["simplified"]])))
     filler = F.size(F.filter("points", lambda p: any_pattern(p, g["fillers"])))
     spoken = [R.ascii_edges(p) for p in g["transcript_like"]]
     rules = [

@@ -82,3 +82,14 @@ def test_vote(spark):
     rows = [((0, 0, 0, 0), "insufficient"), ((1, 0, 1, 0), "mixed"), ((0, 0, 2, 0), "bearish"), ((2, 1, 0, 0), "bullish"), ((1, 1, 0, 0), "neutral"), ((0, 0, 0, 1), "mixed")]
     df = spark.createDataFrame([(*c, e) for c, e in rows], "a int, b int, c int, d int, e string")
     assert all(r.v == r.e for r in df.select("e", scoring.vote("a", "b", "c", "d").alias("v")).collect())
+
+
+def test_guards_keep_matches(spark):
+    assert text.first_characters("(?i)ab|[xy]z|(?<![a-z])\\d:") == {*"aAxXyY0123456789"}
+    assert [text.first_characters(p) for p in ("a?b", "(a|b)?c", "^a", "a|", "\\bx", "(?U)a", "(?=a)b", "[^a]b", "[a-c]")] == [None] * 9
+    patterns = ["業配|85折", "(?i)nord\\s*vpn", "(嗯|那個).*嗯", "\\bMIT\\b"]
+    rows = spark.createDataFrame([("a 85折",), ("NORD  VPN",), ("那個。嗯",), ("85",), ("an MIT x",), ("業",), (None,)], "x string")
+    plain = F.col("x").rlike("|".join(f"(?:{p})" for p in patterns))
+    got = rows.select(text.any_pattern("x", patterns).alias("a"), plain.alias("b"), text.first_index("x", patterns[:3]).alias("i")).collect()
+    assert [r.a for r in got] == [r.b for r in got] == [True, True, True, False, True, False, None]
+    assert [r.i for r in got] == [2, 0, 0, -1, -1, -1, -1]
