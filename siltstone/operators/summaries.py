@@ -21,9 +21,10 @@ def resolve_transcripts(raw: DataFrame, normalized: DataFrame, legacy: DataFrame
 
 
 def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Name and slug of the source; its id where it is unknown."""
+    """Name and slug of the source; its id where it is unknown. Sources are a list of settings: they go to the rows,
+    which would else be dealt out, texts and all, by a few sources."""
     s = sources.select(F.col("id").alias("sourceId"), F.col("name").alias("sourceName"), F.col("slug").alias("sourceSlug"))
-    rows = rows.join(s, "sourceId", "left")
+    rows = rows.join(F.broadcast(s), "sourceId", "left")
     return rows.withColumns({c: F.coalesce(c, "sourceId") for c in ("sourceName", "sourceSlug")})
 
 
@@ -134,11 +135,9 @@ def metadata_summaries(raw: DataFrame, sources: DataFrame, now: Column, phrases:
     rows = rows.withColumn("cleaned", without_promotions("zh_text"))
     whole = F.concat_ws(" ", "zh_title", "cleaned")
     rows = rows.withColumn("topics", matched_topics(whole, R.SUMMARY_TOPICS)).withColumn("mentionedAssets", matched_terms(whole, R.SUMMARY_ASSETS, "substring"))
-    best = units.representative_units(rows.select("id", whole.alias("told")), "id", "told", KEYWORDS, R.SUMMARY_TOPICS, SMALL_TALK, R.CUES, not_in=R.PROMOTIONS)
-    best = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", units.themes(F.col("unit"), R.EVIDENCE_THEMES).alias("t")))).alias("u"))
-    rows = rows.join(best, "id", "left").withColumn("n_units", F.coalesce(F.size("u"), F.lit(0)))
+    rows = rows.withColumn("u", units.best_units(whole, KEYWORDS, R.SUMMARY_TOPICS, SMALL_TALK, R.CUES, not_in=R.PROMOTIONS)).withColumn("n_units", F.size("u"))
     macro = F.array_contains("topics", "總經")
-    found = F.transform("u", lambda x: F.coalesce(x.t, F.when(macro, F.lit(R.MACRO_THEME))))
+    found = F.transform("u", lambda x: F.coalesce(units.themes(x, R.EVIDENCE_THEMES), F.when(macro, F.lit(R.MACRO_THEME))))
     rows = rows.withColumn("found", F.coalesce(F.array_distinct(F.array_compact(found)), F.array().cast("array<string>")))
     subject = F.when(F.size("topics") > 0, F.array_join(F.slice("topics", 1, 4), "、")).otherwise(F.lit("本集主題"))
     weak = units.weak_title(F.col("zh_title"))

@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.match import matched_topics
 from siltstone.functions.scoring import cascade
-from siltstone.functions.text import any_pattern, cleanup_unit, ensure_sentence, split_units
+from siltstone.functions.text import any_pattern, bind, cleanup_unit, ensure_sentence, split_units
 
 
-def unit_points(unit: Column, whole: Column, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None) -> Column:
-    """Score in hundredths: length up to 120 characters, keywords, topics of the whole text, less banter."""
+def unit_points(unit: Column, whole: Column, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None, seen: Column | None = None) -> Column:
+    """Score in hundredths: length up to 120 characters, keywords, topics of the whole text, less banter.
+    With ``seen``, the topics of the whole text, its head alone is enough for ``whole``."""
     points = F.floor(F.least(F.length(unit), F.lit(120)) * 100 / 40)
     points = reduce(lambda a, k: a + F.when(unit.contains(k), 140).otherwise(0), keywords, points)
-    points = points + 40 * F.size(matched_topics(F.concat_ws(" ", unit, whole), topics))
+    named = matched_topics(F.concat_ws(" ", unit, whole), topics)
+    points = points + 40 * F.size(named if seen is None else F.array_union(seen, named))
     return points - F.when(unit.rlike(banter), 120).otherwise(0) if banter else points
 
 
-def representative_units(
-    rows: DataFrame, key: str, text: str, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None, cues: list[str] = (), top: int = 4, least: int = 18, most: int = 180, not_in: list[str] = ()
-) -> DataFrame:
-    """(key, rank, unit): the best units of a fair length; later ones lose a hundredth a position, and of
-    units that begin alike the best stays. Units that match a pattern of ``not_in`` (promotions) are left out."""
-    units = rows.select(key, F.col(text).alias("whole"), F.posexplode(F.transform(split_units(text, cues), cleanup_unit)).alias("n", "unit"))
-    units = units.filter(F.length("unit").between(least, most))
-    if not_in:
-        units = units.filter(~any_pattern("unit", list(not_in)))
-    units = units.withColumn("points", unit_points(F.col("unit"), F.col("whole"), keywords, topics, banter) - F.col("n"))
-    first = Window.partitionBy(key, F.substring("unit", 1, 28)).orderBy(F.desc("points"), "n")
-    units = units.withColumn("r", F.row_number().over(first)).filter("r = 1")
-    best = Window.partitionBy(key).orderBy(F.desc("points"), "n")
-    return units.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select(key, "rank", "unit")
+def best_units(
+    text: Column, keywords: list[str], topics: dict[str, list[str]], banter: str | None = None, cues: list[str] = (), top: int = 4, least: int = 18, most: int = 180, not_in: list[str] = ()
+) -> Column:
+    """The best units of a fair length, best first; later ones lose a hundredth a position, and of units that begin
+    alike the best stays. Units that match a pattern of ``not_in`` (promotions) are left out."""
+    long = max((len(k) for keys in topics.values() for k in keys), default=0)  # a keyword across unit and text ends in so many characters
+
+    def chosen(w):
+        units = F.transform(F.transform(split_units(w.text, cues), cleanup_unit), lambda u, n: F.struct(u.alias("unit"), n.alias("n")))
+        units = F.filter(units, lambda x: F.length(x.unit).between(least, most))
+        if not_in:
+            units = F.filter(units, lambda x: ~any_pattern(x.unit, list(not_in)))
+        units = F.transform(units, lambda x: F.struct((x.n - unit_points(x.unit, w.head, keywords, topics, banter, w.seen)).alias("less"), x.n.alias("n"), x.unit.alias("unit")))
+        begins = lambda u: F.substring(u, 1, 28)
+        step = lambda kept, x: F.when((F.size(kept) >= top) | F.exists(kept, lambda k: begins(k) == begins(x.unit)), kept).otherwise(F.concat(kept, F.array(x.unit)))
+        return F.aggregate(F.sort_array(units), F.array().cast("array<string>"), step)
+
+    whole = lambda t: F.struct(t.alias("text"), F.substring(t, 1, long).alias("head"), matched_topics(t, topics).alias("seen"))
+    return bind(bind(text, whole), chosen)
+
+
+def representative_units(rows: DataFrame, key: str, text: str, *rules, **limits) -> DataFrame:
+    """(key, rank, unit): :func:`best_units` of each row."""
+    return rows.select(key, F.posexplode(best_units(F.col(text), *rules, **limits)).alias("rank", "unit")).withColumn("rank", F.col("rank") + 1)
 
 
 def themes(unit: Column, rules: list[tuple[str, str]], default: Column | None = None) -> Column:

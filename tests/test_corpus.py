@@ -242,3 +242,22 @@ def test_units_and_run_config(spark):
     assert spark.range(1).select(points.alias("p")).head().p == ["關稅與市場的長期影響。", "甲。", "BTC。"]
     c = RunConfig.parse(["--source", "s", "--limit", "0", "--force"], {"RUN_MAX_ITEMS": "5"}, "now")
     assert (c.source, c.limit, c.max_items, c.force) == ("s", 2, 5, True)
+
+
+def test_metadata_summaries_in_one_pass(spark):
+    """No row is dealt out: not by its few sources, not for its units."""
+    raw = spark.range(4).select(F.col("id").cast("string").alias("id"), F.lit("s").alias("sourceId"), F.lit("市場").alias("title"), F.lit("").alias("description"), F.lit("2024").alias("publishedAt"), F.lit("u").alias("url"), F.lit("今天市場").alias("transcript"))
+    rows = summaries.metadata_summaries(raw, spark.createDataFrame([], "id string, name string, slug string"), F.lit("now"))
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 4
+
+
+def test_units_hold_topics_across_their_end(spark):
+    """A keyword with a space may begin in a unit and end in the text's head."""
+    from siltstone.operators import units
+
+    topics = {"a": ["P Q"], "b": ["半導體"]}
+    df = spark.createDataFrame([("Q 市場今天上漲，資金持續流入半導體族群與電子股。",)], "t string")
+    new = units.unit_points(F.lit("x P"), F.substring("t", 1, 3), [], topics, seen=F.array(F.lit("b")))
+    r = df.select(new.alias("new"), units.unit_points(F.lit("x P"), F.col("t"), [], topics).alias("old")).head()
+    assert r.new == r.old == 7 + 80
