@@ -49,14 +49,16 @@ def check_entities(entities: DataFrame) -> DataFrame:
 
 
 def check_claims(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    s = segments.select(F.col("id").alias("segmentId"), F.col("text").alias("segment_text"))
+    """One join with the segments serves the references and the quotes."""
+    s = segments.select(F.col("id").alias("segmentId"), F.col("text").alias("segment_text"), F.lit(True).alias("known"))
     quote = F.col("evidence.quote")
     rules = [
+        failure(F.col("known").isNull() & F.col("segmentId").isNotNull(), "unknown-reference", F.col("segmentId")),
         failure(F.coalesce(F.trim(quote), F.lit("")) == "", "empty-quote", ""),
         failure(~F.coalesce(F.col("segment_text").contains(quote), F.lit(True)), "quote-not-in-segment", quote),
         failure(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence-range", F.col("confidence")),
     ]
-    return union_all([duplicates(claims, "claims", ["id"]), orphans(claims, "claims", "id", "segmentId", segments, "id"), collect_failures(claims.join(s, "segmentId", "left"), "claims", "id", rules)])
+    return union_all([duplicates(claims, "claims", ["id"]), collect_failures(claims.join(s, "segmentId", "left"), "claims", "id", rules)])
 
 
 def check_insights(insights: DataFrame, claims: DataFrame) -> DataFrame:

@@ -261,3 +261,11 @@ def test_units_hold_topics_across_their_end(spark):
     new = units.unit_points(F.lit("x P"), F.substring("t", 1, 3), [], topics, seen=F.array(F.lit("b")))
     r = df.select(new.alias("new"), units.unit_points(F.lit("x P"), F.col("t"), [], topics).alias("old")).head()
     assert r.new == r.old == 7 + 80
+
+
+def test_check_claims_joins_segments_once(spark):
+    rows = spark.createDataFrame([("a", "s1", 0.5, ("x",)), ("b", "s2", 1.5, ("y",)), ("b", None, 0.5, (" ",))], "id string, segmentId string, confidence double, evidence struct<quote: string>")
+    found = quality.check_claims(rows, spark.createDataFrame([("s1", "z")], "id string, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = sorted((r.id, r.check, r.detail) for r in found.collect())
+    assert got == [("a", "quote-not-in-segment", "x"), ("b", "confidence-range", "1.5"), ("b", "duplicate-key", "2"), ("b", "empty-quote", ""), ("b", "unknown-reference", "s2")]
