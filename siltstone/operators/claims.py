@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone import rules as R
 from siltstone.functions.match import mentioned
 from siltstone.functions.scoring import additive, pattern_cascade, polarity
-from siltstone.functions.text import any_pattern, quote_key, shingles
+from siltstone.functions.text import any_pattern, bind, quote_key, shingles
 
 _SPLIT = re.compile(r"(?<=[。！？；;.!?])\s*|[\r\n]+")
 _LEAD = re.compile(r"^[，,、：:；;。！？!?.\s]+")
@@ -115,20 +115,27 @@ def near_copies(rows: DataFrame, keys: list[str], order: str, text: str, limit:
 
     Texts meet on rare n-grams only: two that overlap enough share one among the rarest of either (a prefix
     as long as the limit asks for), and one that is contained shares its rarest with the other.
+    Of n-grams their hashes are dealt out: equal ones only add pairs, which the texts decide, and prefixes are as
+    long as the true number of n-grams asks for. N-grams that one text alone has count for its ranks and go early.
     """
-    rows = rows.select(*keys, F.col(order).alias("o"), F.col(text).alias("t")).withColumn("g", shingles("t", size))
-    grams = rows.select(*keys, "o", F.length("t").alias("len"), F.size("g").alias("s"), F.explode("g").alias("gram"))
-    grams = grams.withColumn("f", F.count("*").over(Window.partitionBy(*keys, "gram")))
-    grams = grams.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "o").orderBy("f", "gram"))).filter("f > 1")
-    prefix = grams.filter(F.col("r") <= F.col("s") - F.ceil(F.col("s") * limit) + 1)
-    other = lambda t: t.select(*keys, "gram", F.col("o").alias("p"), F.col("len").alias("plen"), F.col("s").alias("ps"))
-    alike = prefix.join(other(prefix), [*keys, "gram"]).filter((F.col("o") < F.col("p")) & (F.least("s", "ps") >= limit * F.greatest("s", "ps")))
-    within = grams.filter("r = 1").join(other(grams), [*keys, "gram"]).filter((F.col("o") != F.col("p")) & (F.col("len") <= F.col("plen")))
-    pairs = alike.select(*keys, F.col("o").alias("a"), F.col("p").alias("b")).union(within.select(*keys, F.least("o", "p"), F.greatest("o", "p"))).distinct()
-    side = lambda n: rows.select(*keys, F.col("o").alias(n), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"))
+    rows = rows.select(*keys, F.col(order).alias("o"), F.col(text).alias("t"))
+    grams = rows.select(*keys, "o", F.length("t").alias("len"), shingles("t", size).alias("g"))
+    grams = grams.select(*keys, "o", "len", F.size("g").alias("s"), F.array_distinct(F.transform("g", lambda x: F.xxhash64(x))).alias("g"))
+    grams = grams.select(*keys, "o", "len", "s", F.size("g").alias("h"), F.explode("g").alias("gram"))
+    grams = grams.withColumn("f", F.count("*").over(Window.partitionBy(*keys, "gram"))).filter("f > 1")
+    mine = Window.partitionBy(*keys, "o")
+    rank = F.col("h") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("f", "gram"))
+    grams = grams.withColumn("r", rank).select(*keys, "gram", "o", "len", "s", "r", (F.col("r") <= F.col("s") - F.ceil(F.col("s") * limit) + 1).alias("rare"))
+    other = grams.select(*keys, "gram", F.col("o").alias("p"), F.col("len").alias("plen"), F.col("s").alias("ps"), F.col("rare").alias("prare"))
+    alike = F.col("prare") & (F.col("o") < F.col("p")) & (F.least("s", "ps") >= limit * F.greatest("s", "ps"))
+    within = (F.col("r") == 1) & (F.col("o") != F.col("p")) & (F.col("len") <= F.col("plen"))
+    pairs = grams.filter("rare").join(other, [*keys, "gram"]).filter(alike | within)
+    pairs = pairs.select(*keys, F.least("o", "p").alias("a"), F.greatest("o", "p").alias("b")).distinct()
+    side = lambda n: rows.select(*keys, F.col("o").alias(n), F.col("t").alias(f"t{n}"))
     pairs = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
-    both = F.size(F.array_intersect("ga", "gb"))
-    same = F.col("ta").contains(F.col("tb")) | F.col("tb").contains(F.col("ta")) | (both >= F.lit(limit) * (F.size("ga") + F.size("gb") - both))
+    overlap = lambda x: bind(F.size(F.array_intersect(x.a, x.b)), lambda both: both >= F.lit(limit) * (F.size(x.a) + F.size(x.b) - both))
+    enough = bind(F.struct(shingles("ta", size).alias("a"), shingles("tb", size).alias("b")), overlap)
+    same = F.col("ta").contains(F.col("tb")) | F.col("tb").contains(F.col("ta")) | enough
     return pairs.filter(same).select(*keys, "a", "b")
 
 

@@ -269,3 +269,20 @@ def test_check_claims_joins_segments_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     got = sorted((r.id, r.check, r.detail) for r in found.collect())
     assert got == [("a", "quote-not-in-segment", "x"), ("b", "confidence-range", "1.5"), ("b", "duplicate-key", "2"), ("b", "empty-quote", ""), ("b", "unknown-reference", "s2")]
+
+
+def test_near_copies_against_all_pairs(spark):
+    """The pairs of a plain comparison; n-grams meet in one join, and no text travels with its n-grams."""
+    import random
+
+    dice = random.Random(5)
+    lines = ["".join(dice.choice("abcd") for _ in range(dice.choice([6, 7, 12, 40]))) for _ in range(30)]
+    lines += [x[:-1] + "z" for x in lines[:20]] + [x[2:9] for x in lines[:10] if len(x) > 9] + lines[:2]
+    data = [(i % 2, i, x) for i, x in enumerate(lines)]
+    found = claims.near_copies(spark.createDataFrame(data, "k int, n int, t string"), ["k"], "n", "t")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    grams = lambda x: {x[i : i + 6] for i in range(len(x) - 5)}
+    alike = lambda x, y: x in y or y in x or len(grams(x) & grams(y)) >= 0.55 * len(grams(x) | grams(y))
+    want = {(k, a, b) for k, a, x in data for j, b, y in data if k == j and a < b and alike(x, y)}
+    got = [(r.k, r.a, r.b) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 5
